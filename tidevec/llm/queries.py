@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_extract, packing, sharding
+from . import chat, exact_dedup, html_extract, langid, packing, sharding, simhash, toxicity
 
 N_SHARDS = 16
 
@@ -65,6 +65,19 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_tiled_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("bits")).alias("fingerprint"), "component_id")
+
+
+def op6_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,7 +85,7 @@ def op9_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_slot_sharding, op2_typed_parts_chat, op3_line_block_html, op4_exact_dedup, op9_bin_completion_packing)}
+    return {f.__name__: f for f in (op1_slot_sharding, op2_typed_parts_chat, op3_line_block_html, op4_exact_dedup, op5_tiled_simhash, op6_ftrl_language_id, op8_lexicon_toxicity, op9_bin_completion_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
