@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_extract, langid, packing, sharding, simhash, toxicity
+from . import chat, exact_dedup, html_extract, langid, linededup, packing, sharding, simhash, toxicity
 
 N_SHARDS = 16
 
@@ -84,9 +84,34 @@ def op9_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_set_similarity_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed_lines", lambda i: i.cast("string")), ",").alias("removed_lines"))
+
+
+OP10_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM split),
+words AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> ''))) AS ws FROM lines),
+placed AS (SELECT *, CAST(doc_id AS HUGEINT) * 2147483648 + line_no AS place FROM words WHERE len(ws) > 0),
+known AS (SELECT *, min(place) OVER (PARTITION BY ws) AS first FROM placed),
+sets AS (SELECT DISTINCT first, ws, len(ws) AS n FROM known),
+terms AS (SELECT first, n, unnest(ws) AS word FROM sets),
+counts AS (SELECT word, count(*) AS c FROM terms GROUP BY word),
+ranked AS (SELECT first, n, word, row_number() OVER (PARTITION BY first ORDER BY c, word) AS r FROM terms JOIN counts USING (word)),
+prefix AS (SELECT first, n, word FROM ranked WHERE r <= n - ceil(n * 4 / 5.0) + 1),
+pairs AS (SELECT DISTINCT a.first AS a, b.first AS b FROM prefix a JOIN prefix b ON a.word = b.word AND a.first < b.first AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4),
+alike AS (SELECT DISTINCT pairs.b AS first FROM pairs JOIN sets x ON x.first = pairs.a JOIN sets y ON y.first = pairs.b WHERE len(list_intersect(x.ws, y.ws)) * 9 >= (x.n + y.n) * 4),
+gone AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS removed_lines
+  FROM known WHERE place > first OR first IN (SELECT first FROM alike) GROUP BY doc_id)
+SELECT split.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines
+FROM split LEFT JOIN gone ON split.doc_id = gone.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_slot_sharding, op2_typed_parts_chat, op3_line_block_html, op4_exact_dedup, op5_tiled_simhash, op6_ftrl_language_id, op8_lexicon_toxicity, op9_bin_completion_packing)}
+    return {f.__name__: f for f in (op1_slot_sharding, op2_typed_parts_chat, op3_line_block_html, op4_exact_dedup, op5_tiled_simhash, op6_ftrl_language_id, op8_lexicon_toxicity, op9_bin_completion_packing, op10_set_similarity_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_typed_parts_chat": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op2_typed_parts_chat": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op10_set_similarity_line_dedup": OP10_SQL}
