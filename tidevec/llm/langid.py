@@ -221,3 +221,15 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     model = train_on(df, id_col, text_col, lang_col, per_class)
     return identify(df, model, id_col, text_col, [id_col]).select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.4) -> DataFrame:
+    """``df`` without the rows whose text is ``und`` or whose language scores under ``least``; all columns stay, nothing is shuffled."""
+    held, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [held.value.predict(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_extract, langid, linededup, packing, sharding, simhash, toxicity
+from . import chat, decontam, exact_dedup, html_extract, langid, linededup, packing, sharding, simhash, toxicity
 
 N_SHARDS = 16
 
@@ -74,6 +74,10 @@ def op6_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -110,7 +114,7 @@ FROM split LEFT JOIN gone ON split.doc_id = gone.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_slot_sharding, op2_typed_parts_chat, op3_line_block_html, op4_exact_dedup, op5_tiled_simhash, op6_ftrl_language_id, op8_lexicon_toxicity, op9_bin_completion_packing, op10_set_similarity_line_dedup)}
+    return {f.__name__: f for f in (op1_slot_sharding, op2_typed_parts_chat, op3_line_block_html, op4_exact_dedup, op5_tiled_simhash, op6_ftrl_language_id, op7_bm25_decontamination, op8_lexicon_toxicity, op9_bin_completion_packing, op10_set_similarity_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
