@@ -6,8 +6,9 @@ are dealt back to pieces by rank within their length.
 
 Packing is a branch-and-bound over bins: each step takes the largest length left and enumerates
 undominated fillings around it, best fit first; a branch ends when its waste passes what the incumbent
-allows, and the first incumbent is best-fit decreasing. Bins repeat while their lengths last, so the
-search runs over kinds of bins, not bins.
+allows. Bins repeat while their lengths last, so the
+search runs over kinds of bins, not bins; at each step best-fit decreasing packs what is left, and the
+best such packing is the incumbent.
 """
 
 from __future__ import annotations
@@ -118,9 +119,10 @@ def fillings(first: int, counts: dict[int, int], capacity: int, most: int) -> li
         return not any(have[m] > used.get(m, 0) for m in lengths if m <= slack)
 
     def descend(k: int, left: int, kind: list[tuple[int, int]], slack: int) -> None:
+        """Add lengths among the k shortest that sum to ``left``, longest first."""
         nonlocal steps
         steps += 1
-        if most and (len(out) >= most or steps > 50 * most):
+        if most and (len(out) >= most or steps > 400 * most):
             return
         if not left:
             if undominated(kind, slack):
@@ -128,12 +130,13 @@ def fillings(first: int, counts: dict[int, int], capacity: int, most: int) -> li
                 filled[first] = filled.get(first, 0) + 1
                 out.append(tuple(sorted(filled.items(), reverse=True)))
             return
-        if not k or not (reach[k] >> left) & 1:
-            return
-        n = lengths[k - 1]
-        for c in range(min(have[n], left // n), -1, -1):
-            if (reach[k - 1] >> (left - n * c)) & 1:
-                descend(k - 1, left - n * c, [*kind, (n, c)] if c else kind, slack)
+        for j in range(min(k, bisect_left(lengths, left + 1)), 0, -1):
+            if not (reach[j] >> left) & 1:
+                return
+            n = lengths[j - 1]
+            for c in range(min(have[n], left // n), 0, -1):
+                if (reach[j - 1] >> (left - n * c)) & 1:
+                    descend(j - 1, left - n * c, [*kind, (n, c)], slack)
 
     for fill in range(room, -1, -1):
         if (reach[-1] >> fill) & 1:
@@ -143,11 +146,11 @@ def fillings(first: int, counts: dict[int, int], capacity: int, most: int) -> li
     return out
 
 
-def pack_lengths(counts: dict[int, int], capacity: int, node_limit: int = 3000, branch: int = 4, exact_items: int = 40) -> Packing:
+def pack_lengths(counts: dict[int, int], capacity: int, node_limit: int = 500, branch: int = 4, exact_items: int = 40) -> Packing:
     """As few bins of ``capacity`` as the search finds for ``counts`` (length to number); lengths are 1 to capacity.
 
-    Ends at once when the incumbent meets the lower bound. ``node_limit`` bounds the kinds of bins tried;
-    up to ``exact_items`` items every undominated filling is a branch, above that the ``branch`` fullest are.
+    Ends at once when the incumbent meets the lower bound. ``node_limit`` bounds the kinds of bins tried (forty times as many
+    for few items); up to ``exact_items`` items every undominated filling is a branch, above that the ``branch`` fullest are.
     """
     counts = {n: c for n, c in counts.items() if c}
     if not counts:
@@ -159,6 +162,7 @@ def pack_lengths(counts: dict[int, int], capacity: int, node_limit: int = 3000,
     total = sum(n * c for n, c in counts.items())
     nodes = 0
     exact = sum(counts.values()) <= exact_items
+    limit = node_limit * 40 if exact else node_limit
 
     def search(left: dict[int, int], done: Packing, used: int, waste: int) -> bool:
         """True when nothing better can be found."""
@@ -168,8 +172,13 @@ def pack_lengths(counts: dict[int, int], capacity: int, node_limit: int = 3000,
                 incumbent = list(done)
             return bins_of(incumbent) <= least
         nodes += 1
-        if nodes > node_limit:
+        if nodes > limit:
             return True
+        rest = best_fit_decreasing(left, capacity)
+        if used + bins_of(rest) < bins_of(incumbent):
+            incumbent = [*done, *rest]
+            if bins_of(incumbent) <= least:
+                return True
         first = max(left)
         for kind in fillings(first, left, capacity, 0 if exact else branch):
             lost = capacity - sum(n * c for n, c in kind)
@@ -192,12 +201,12 @@ def pack_lengths(counts: dict[int, int], capacity: int, node_limit: int = 3000,
         return False
 
     if bins_of(incumbent) > least:
-        limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(limit, 20_000))
+        deep = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(deep, 20_000))
         try:
             search(counts, [], 0, 0)
         finally:
-            sys.setrecursionlimit(limit)
+            sys.setrecursionlimit(deep)
     return incumbent
 
 
@@ -268,7 +277,7 @@ def tokenised_pieces(df: DataFrame, path: str, pattern: str, capacity: int, end_
     return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(df: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", node_limit: int = 3000) -> DataFrame:
+def pack(df: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", node_limit: int = 500) -> DataFrame:
     """Pack all documents of ``df``: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone; repeated rows are packed each; a null id stays null; an
