@@ -18,30 +18,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialise
+from ..scratch import discard, materialise, release
 
 HASH_BITS = 57
 _SPACE = "[ \\t\\x0B\\f\\r]+"
+_OTHER = "[\\t\\x0B\\f\\r]"
 _WORD = "[^ \\t\\x0B\\f\\r]"
 _LINE = 1 << 31
 
 
+def parts(line: Column) -> Column:
+    """The line's words, and empty ones; the pattern is only tried where another character than a space parts them."""
+    return F.when(line.rlike(_OTHER), F.split(line, _SPACE)).otherwise(F.split(line, " "))
+
+
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(line, _SPACE), "")
+    return F.array_remove(parts(line), "")
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line_no, line), in which a null id is the smallest long."""
+    """(doc, line_no, line) of every line with words, in which a null id is the smallest long."""
     picked = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    return picked.select(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = picked.select(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.filter(F.col("line").rlike(_WORD))
 
 
 def rarity_table(df: DataFrame, text_col: str, bits: int) -> DataFrame:
-    """One row: for each of 2**bits hash slots, the class (0 to 63) of its count of words in the corpus."""
-    slot = F.transform(F.split(F.col(f"`{text_col}`"), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << bits) - 1)))
-    counts = df.select(F.explode(slot).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    """One row: for each of 2**bits hash slots, the class (0 to 63) of its count of words in the corpus, moved above a hash's bits."""
+    text = F.col(f"`{text_col}`")
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
+    counts = df.select(F.explode(parts(flat)).alias("word")).groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(1 << bits).withColumnRenamed("id", "slot").join(counts, "slot", "left")
-    graded = every.select("slot", F.least(F.lit(63), F.floor(1.4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("tinyint").alias("grade"))
+    grade = F.least(F.lit(63), F.floor(1.4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("long")
+    graded = every.select("slot", F.shiftleft(grade, HASH_BITS).alias("grade"))
     runs = graded.groupBy(F.shiftright("slot", 10).alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "grade"))), lambda x: x["grade"]).alias("grades"))
     return runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "grades"))), lambda x: x["grades"])).alias("grades"))
 
@@ -49,12 +58,12 @@ def rarity_table(df: DataFrame, text_col: str, bits: int) -> DataFrame:
 def word_keys(line: Column, grades: Column, bits: int) -> Column:
     """The line's different words as longs, rarest first: the rarity class above the word's hash."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        grade = F.get(grades, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long")
-        return F.shiftleft(grade, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    def key(h: Column) -> Column:
+        grade = F.coalesce(F.get(grades, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), F.lit(0).cast("long"))
+        return grade.bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(words(line), key)))
+    hashes = F.array_distinct(F.transform(parts(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
 
 
 def order_of(doc: Column, line_no: Column) -> Column:
@@ -65,8 +74,8 @@ def order_of(doc: Column, line_no: Column) -> Column:
 def signed_lines(df: DataFrame, id_col: str, text_col: str, num: int, den: int, bits: int) -> DataFrame:
     """A row per line with words: doc, line_no, s (set hash), s2 (another), n, signature, prefix."""
     grades = materialise(rarity_table(df, text_col, bits), "rarity")
-    worded = lines_of(df, id_col, text_col).filter(F.col("line").rlike(_WORD))  # not by the keys' size, which would work them out twice
-    keyed = worded.select("*", grades.scalar().alias("grades")).select("doc", "line_no", word_keys(F.col("line"), F.col("grades"), bits).alias("keys"))
+    release(df.sparkSession)
+    keyed = lines_of(df, id_col, text_col).select("*", grades.scalar().alias("grades")).select("doc", "line_no", word_keys(F.col("line"), F.col("grades"), bits).alias("keys"))
     n = F.size("keys")
     kept = (n - F.ceil(n * num / F.lit(den)) + 1).cast("int")
     signature = F.aggregate("keys", F.lit(0).cast("long"), lambda bits_set, k: bits_set.bitwiseOR(_bit(k)))
@@ -78,112 +87,142 @@ def _bit(key: Column) -> Column:
 
 
 def may_match(a: dict[str, Column], b: dict[str, Column], num: int, den: int) -> Column:
-    """Length, positional and signature filters for two sets that share a word at positions ``at`` (from 0) of their prefixes.
+    """Length, positional and signature filters for two sets that share a word, ``left`` words before their ends.
 
-    At the first word that two sets share, no more than 1 + the shorter rest can be common; a pair that
-    is similar passes there.
+    At the first word that two sets share, no more than the shorter rest (it included) can be common; a
+    pair that is similar passes there.
     """
-    total = a["n"] + b["n"]
-    enough = F.ceil(total * num / F.lit(num + den))  # common words needed
-    reach = F.least(a["n"] - a["at"], b["n"] - b["at"])
+    enough = F.ceil((a["n"] + b["n"]) * num / F.lit(num + den))  # common words needed
     apart = F.bit_count(a["signature"].bitwiseAND(F.bitwise_not(b["signature"])))
     other = F.bit_count(b["signature"].bitwiseAND(F.bitwise_not(a["signature"])))
-    return (F.least(a["n"], b["n"]) * den >= F.greatest(a["n"], b["n"]) * num) & (reach >= enough) & (apart <= a["n"] - enough) & (other <= b["n"] - enough)
+    return (F.least(a["n"], b["n"]) * den >= F.greatest(a["n"], b["n"]) * num) & (F.least(a["left"], b["left"]) >= enough) & (apart <= a["n"] - enough) & (other <= b["n"] - enough)
 
 
-def _side(prefix: str) -> dict[str, Column]:
-    return {k: F.col(f"{prefix}{k}") for k in ("n", "at", "signature")}
+def _side(name: str) -> dict[str, Column]:
+    """n and left share a long, to keep postings small."""
+    size = F.col(f"{name}.size")
+    return {"n": F.shiftright(size, 32), "left": size.bitwiseAND(F.lit((1 << 32) - 1)), "signature": F.col(f"{name}.signature")}
 
 
-def verify(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``pairs`` (a, b: set hashes), those whose first lines are similar: a, b, first and then of each (a_order, b_order), common, total.
+def wanted_lines(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(s, order, line, n, bits) of the ``wanted`` (s, order, doc, line_no), read again from the documents and stored;
+    n words, and a signature four times as wide as the postings'.
 
-    The lines are read again from the documents; a bit table of the wanted ones keeps the others out
-    of the shuffle.
+    A bit table of the wanted lines keeps the others out of the shuffle.
     """
-    bits = 22
-    both = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    wanted = materialise(both.join(sets, "s").select("s", "order", "doc", "line_no"), "wanted")
+    bits = 23
     spot = F.xxhash64("doc", "line_no").bitwiseAND(F.lit((1 << bits) - 1))
     marks = wanted.groupBy(F.shiftright(spot, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("mark"))
     cells = df.sparkSession.range(1 << (bits - 6)).withColumnRenamed("id", "cell").join(marks, "cell", "left")
-    table = materialise(cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("mark", F.lit(0).cast("long")).alias("mark")))), lambda x: x["mark"]).alias("marks")), "marks")
-    lines = lines_of(df, id_col, text_col).filter(F.col("line").rlike(_WORD))
+    runs = cells.groupBy(F.shiftright("cell", 8).alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("mark", F.lit(0).cast("long")).alias("mark")))), lambda x: x["mark"]).alias("marks"))
+    table = materialise(runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "marks"))), lambda x: x["marks"])).alias("marks")), "marks")
     marked = F.getbit(F.get(table.scalar(), F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(F.lit(63)).cast("int")) == 1
-    texts = lines.filter(marked).join(wanted, ["doc", "line_no"]).select("s", "order", F.array_distinct(words(F.col("line"))).alias("words"))
-    left = texts.select(F.col("s").alias("a"), F.col("order").alias("a_order"), F.col("words").alias("a_words"))
-    right = texts.select(F.col("s").alias("b"), F.col("order").alias("b_order"), F.col("words").alias("b_words"))
-    joined = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("a_words", "b_words"))
-    total = F.size("a_words") + F.size("b_words")
-    return joined.select("a", "b", "a_order", "b_order", common.alias("common"), total.alias("total")).filter(F.col("common") * (num + den) >= F.col("total") * num)
+    found = lines_of(df, id_col, text_col).filter(marked).join(wanted, ["doc", "line_no"]).select("s", "order", "line", F.transform(F.array_distinct(words(F.col("line"))), lambda w: F.xxhash64(w)).alias("hashes"))
+
+    def quarter(k: int) -> Column:
+        return F.aggregate(F.filter("hashes", lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(_bit(h)))
+
+    wide = F.array(*[quarter(k) for k in range(4)])
+    return materialise(found.select("s", "order", "line", F.size("hashes").alias("n"), wide.alias("bits")), "texts")
+
 
+def verify(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(s, order) of the later sets of ``pairs`` (a, b: set hashes) whose lines have enough words in common.
 
-def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, bits: int = 20, near: int = 32, rounds: int = 3) -> DataFrame:
+    Wide signatures settle most pairs before any line travels. A set that the earliest of its partners
+    removes needs no other, so those pairs are verified first.
+    """
+    about = texts.select("s", F.struct("order", "n", "bits").alias("x"))
+    x, y = F.col("x"), F.col("y")
+    both = pairs.join(about.withColumnRenamed("s", "a"), "a").join(about.select(F.col("s").alias("b"), F.col("x").alias("y")), "b")
+    enough = F.ceil((x["n"] + y["n"]) * num / F.lit(num + den))
+
+    def apart(p: Column, q: Column) -> Column:
+        return sum((F.bit_count(p["bits"][k].bitwiseAND(F.bitwise_not(q["bits"][k]))) for k in range(1, 4)), F.bit_count(p["bits"][0].bitwiseAND(F.bitwise_not(q["bits"][0]))))
+
+    near = both.filter((apart(x, y) <= x["n"] - enough) & (apart(y, x) <= y["n"] - enough))
+    forward = x["order"] < y["order"]
+    pick = lambda p, q: F.when(forward, p).otherwise(q)
+    oriented = near.select(pick(F.col("a"), F.col("b")).alias("a"), pick(F.col("b"), F.col("a")).alias("b"), F.least(x["order"], y["order"]).alias("a_order"), F.greatest(x["order"], y["order"]).alias("b_order"))
+    oriented = materialise(oriented, "oriented")
+    first = oriented.groupBy("b", "b_order").agg(F.min("a_order").alias("a_order"))
+    gone = materialise(_alike(texts, oriented.join(first, ["b", "b_order", "a_order"]), num, den), "gone")
+    left = oriented.join(first, ["b", "b_order", "a_order"], "left_anti").join(gone.select(F.col("s").alias("b"), F.col("order").alias("b_order")), ["b", "b_order"], "left_anti")
+    more = materialise(_alike(texts, left, num, den), "gone")
+    release(texts.sparkSession)
+    return gone.unionByName(more).distinct()
+
+
+def _alike(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    left = texts.select(F.col("s").alias("a"), F.col("order").alias("a_order"), F.col("line").alias("a_line"))
+    right = texts.select(F.col("s").alias("b"), F.col("order").alias("b_order"), F.col("line").alias("b_line"))
+    x, y = F.array_distinct(words(F.col("a_line"))), F.array_distinct(words(F.col("b_line")))
+    both = pairs.join(left, ["a", "a_order"]).join(right, ["b", "b_order"]).select(F.col("b").alias("s"), F.col("b_order").alias("order"), x.alias("x"), y.alias("y"))
+    return both.filter(F.size(F.array_intersect("x", "y")) * (num + den) >= (F.size("x") + F.size("y")) * num).select("s", "order").distinct()
+
+
+def met_pairs(lines: DataFrame, near: int, num: int, den: int) -> DataFrame:
+    """Sets that meet by a prefix word: (a, b) pairs that may match, of words that up to ``near`` sets share, and for
+    the others postings (a, word, size, signature) with b null. One shuffle of the postings serves all."""
+    sets = lines.groupBy("s", "n", "signature", "prefix").agg(F.count(F.lit(1)).alias("_"))
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long"))
+    postings = sets.select("s", "n", "signature", F.posexplode("prefix").alias("at", "word")).select("word", "s", size.alias("size"), "signature")
+    # the join would ask this of its right side alone, and the sides would then have a shuffle each
+    postings = postings.filter("word IS NOT NULL AND s IS NOT NULL AND size IS NOT NULL AND signature IS NOT NULL").repartition("word")
+    a = postings.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter("shared > 1").alias("a")
+    b = postings.alias("b")
+    on = (F.col("a.word") == F.col("b.word")) & (F.col("a.shared") <= near) & (F.col("a.s") < F.col("b.s")) & may_match(_side("a"), _side("b"), num, den)
+    few = F.col("b.s").isNotNull()
+    crowded = [F.when(~few, F.col(f"a.{c}")).alias(c) for c in ("word", "size", "signature")]
+    # postings of crowded words find nobody, so the outer join hands them through
+    met = a.join(b, on, "left").filter(few | (F.col("a.shared") > near))
+    return met.select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), *crowded).distinct()
+
+
+def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, bits: int = 20, near: int = 64, rounds: int = 1) -> DataFrame:
     """(doc, line_no, removed) for every line with words; ``num/den`` is the least Jaccard similarity.
 
     Lines without words are never removed and don't come out. A null id is ordered before all others; of
     lines in rows that repeat an id, equal positions tie and all of them stay or go together.
     """
+    spark = df.sparkSession
     lines = materialise(signed_lines(df, id_col, text_col, num, den, bits), "lines").withColumn("order", order_of(F.col("doc"), F.col("line_no")))
+    met = materialise(met_pairs(lines, near, num, den), "met")
+    wide, lines = lines, materialise(lines.select("doc", "line_no", "s", "s2", "order"), "lines")
+    discard(wide)  # prefixes have done their work
+    release(spark)
     sets = materialise(
         lines.groupBy("s", "s2").agg(F.min("order").alias("order")).withColumn("doc", F.floor(F.col("order") / _LINE).cast("long")).withColumn("line_no", F.pmod(F.col("order"), F.lit(_LINE).cast("decimal(38,0)")).cast("int")),
         "sets",
     )
-    postings = lines.groupBy("s", "n", "signature", "prefix").agg(F.count(F.lit(1)).alias("_")).select("s", "n", "signature", F.posexplode("prefix").alias("at", "word"))
-    ordered = Window.partitionBy("word").orderBy("s")
-    met = materialise(
-        postings.withColumn("before", F.collect_list(F.struct("s", "n", "at", "signature")).over(ordered.rowsBetween(-near, -1)))
-        .withColumn("shared", F.count(F.lit(1)).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .filter("shared > 1")
-        .select(
-            F.when(F.col("shared") > near + 1, F.col("word")).alias("word"),
-            "s",
-            "n",
-            "at",
-            "signature",
-            F.when(
-                F.col("shared") <= near + 1,
-                F.transform(F.filter("before", lambda o: may_match({k: o[k] for k in ("n", "at", "signature")}, {k: F.col(k) for k in ("n", "at", "signature")}, num, den) & (o["s"] != F.col("s"))), lambda o: o["s"]),
-            ).alias("partners"),
-        )
-        .filter("word IS NOT NULL OR size(partners) > 0"),
-        "met",
-    )
-    few = met.filter("word IS NULL").select(F.explode("partners").alias("a"), F.col("s").alias("b")).distinct()
-    similar = materialise(verify(df, id_col, text_col, sets, few, num, den), "similar")
-    gone = [_later(similar)]
-    crowd = met.filter("word IS NOT NULL").drop("partners")
+    few, crowd = met.filter("b IS NOT NULL").select("a", "b"), met.filter("b IS NULL").select("word", F.col("a").alias("s"), "size", "signature")
+    named = few.select(F.col("a").alias("s")).unionByName(few.select(F.col("b").alias("s"))).unionByName(crowd.select("s")).distinct()
+    wanted = materialise(named.join(sets, "s").select("s", "order", "doc", "line_no"), "wanted")
+    texts = wanted_lines(df, id_col, text_col, wanted)
+    release(spark)
+    dropped = materialise(verify(texts, few, num, den), "gone")
     if not crowd.isEmpty():
-        crowd = materialise(crowd.join(sets.select("s", "order"), "s"), "crowd")
-        later = crowd.join(gone[0], ["s", "order"], "left_anti")
+        crowd = materialise(crowd.join(wanted.select("s", "order"), "s"), "crowd")
+        later = crowd.join(dropped, ["s", "order"], "left_anti")
         for _ in range(rounds):
-            lead = later.groupBy("word").agg(F.min_by(F.struct("s", "n", "at", "signature", "order"), "order").alias("lead")).select("word", "lead.*")
-            gone.append(_meet(df, id_col, text_col, sets, later, lead, num, den))
-            later = materialise(later.join(gone[-1], ["s", "order"], "left_anti"), "later")
-        gone.append(_meet(df, id_col, text_col, sets, later, crowd, num, den))
-    dropped = gone[0]
-    for more in gone[1:]:
-        dropped = dropped.unionByName(more)
+            lead = later.groupBy("word").agg(F.min_by(F.struct("s", "size", "signature", "order"), "order").alias("lead")).select("word", "lead.*")
+            gone = _meet(texts, later, lead, num, den)
+            dropped = dropped.unionByName(gone)
+            later = materialise(later.join(gone, ["s", "order"], "left_anti"), "later")
+        dropped = dropped.unionByName(_meet(texts, later, crowd, num, den))
     dropped = materialise(dropped.distinct().withColumn("gone", F.lit(True)), "dropped")
+    release(spark)
     fate = sets.join(dropped, ["s", "order"], "left").select("s", "s2", F.col("order").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    discard(met)
+    for done in (met, texts, wanted):
+        discard(done)
     return lines.select("doc", "line_no", "s", "s2", "order").join(fate, ["s", "s2"]).select("doc", "line_no", (F.col("gone") | (F.col("order") > F.col("first"))).alias("removed"))
 
 
-def _later(similar: DataFrame) -> DataFrame:
-    """(s, order) of the later set of each similar pair."""
-    first = F.col("a_order") < F.col("b_order")
-    return similar.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("s"), F.greatest("a_order", "b_order").alias("order")).distinct()
-
-
-def _meet(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
+def _meet(texts: DataFrame, later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
     """(s, order) of the sets in ``later`` that a set in ``earlier``, before them, removes; both are postings."""
-    a = earlier.select("word", *[F.col(c).alias(f"a_{c}") for c in ("s", "n", "at", "signature", "order")])
-    b = later.select("word", *[F.col(c).alias(f"b_{c}") for c in ("s", "n", "at", "signature", "order")])
-    pairs = a.join(b, (a["word"] == b["word"]) & (F.col("a_order") < F.col("b_order")) & (F.col("a_s") != F.col("b_s")) & may_match(_side("a_"), _side("b_"), num, den))
-    found = materialise(pairs.select(F.col("a_s").alias("a"), F.col("b_s").alias("b")).distinct(), "pairs")
-    return materialise(_later(verify(df, id_col, text_col, sets, found, num, den)), "gone")
+    near = (F.col("a.word") == F.col("b.word")) & (F.col("a.order") < F.col("b.order")) & (F.col("a.s") != F.col("b.s")) & may_match(_side("a"), _side("b"), num, den)
+    found = earlier.alias("a").join(later.alias("b"), near).select(F.col("a.s").alias("a"), F.col("b.s").alias("b")).distinct()
+    return materialise(verify(texts, found, num, den), "gone")
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
