@@ -179,7 +179,7 @@ def met_pairs(lines: DataFrame, near: int, num: int, den: int) -> DataFrame:
     return met.select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), *crowded).distinct()
 
 
-def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, bits: int = 20, near: int = 64, rounds: int = 1) -> DataFrame:
+def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, bits: int = 20, near: int = 256, rounds: int = 1) -> DataFrame:
     """(doc, line_no, removed) for every line with words; ``num/den`` is the least Jaccard similarity.
 
     Lines without words are never removed and don't come out. A null id is ordered before all others; of
@@ -203,6 +203,9 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = materialise(verify(texts, few, num, den), "gone")
     if not crowd.isEmpty():
         crowd = materialise(crowd.join(wanted.select("s", "order"), "s"), "crowd")
+        for done in (met, wanted):
+            discard(done)
+        release(spark)
         later = crowd.join(dropped, ["s", "order"], "left_anti")
         for _ in range(rounds):
             lead = later.groupBy("word").agg(F.min_by(F.struct("s", "size", "signature", "order"), "order").alias("lead")).select("word", "lead.*")
@@ -213,8 +216,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = materialise(dropped.distinct().withColumn("gone", F.lit(True)), "dropped")
     release(spark)
     fate = sets.join(dropped, ["s", "order"], "left").select("s", "s2", F.col("order").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    for done in (met, texts, wanted):
-        discard(done)
+    discard(texts)
     return lines.select("doc", "line_no", "s", "s2", "order").join(fate, ["s", "s2"]).select("doc", "line_no", (F.col("gone") | (F.col("order") > F.col("first"))).alias("removed"))
 
 
@@ -222,7 +224,9 @@ def _meet(texts: DataFrame, later: DataFrame, earlier: DataFrame, num: int, den:
     """(s, order) of the sets in ``later`` that a set in ``earlier``, before them, removes; both are postings."""
     near = (F.col("a.word") == F.col("b.word")) & (F.col("a.order") < F.col("b.order")) & (F.col("a.s") != F.col("b.s")) & may_match(_side("a"), _side("b"), num, den)
     found = earlier.alias("a").join(later.alias("b"), near).select(F.col("a.s").alias("a"), F.col("b.s").alias("b")).distinct()
-    return materialise(verify(texts, found, num, den), "gone")
+    gone = materialise(verify(texts, found, num, den), "gone")
+    release(texts.sparkSession)
+    return gone
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
