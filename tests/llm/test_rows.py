@@ -186,3 +186,10 @@ def test_extract(spark, sf_dir):
     got = queries.op3_line_block_html(spark, sf_dir).collect()
     assert len(got) == len(pages) and all(r.text == html_extract.main_text(pages[r.page_id]) and r.n_chars == len(r.text) for r in got)
     assert all("<" not in r.text and "track(" not in r.text for r in got)
+
+
+def test_lines_outside_an_article_are_not_lost():
+    text = "".join(f"<p>{k} {LONG}</p>" for k in range(4))
+    want = "\n".join(f"{k} {LONG}" for k in range(4))
+    assert html_extract.main_text(f"<div>{text}</div><section><article><a href=1>card</a></article><article><a href=2>card</a></article></section>") == want
+    assert html_extract.main_text(f"<div><a href=1>home</a></div><article><p>a</p>{text}<p>b</p><p>c</p><p>d</p><p>e</p></article>") == f"a\n{want}\nb\nc\nd\ne"

@@ -1,11 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element, and each line gets an effective length: its
-characters outside links, or zero where it belongs to a menu, header, footer, sidebar, notice, advert,
-form or reader comment. Effective lengths are summed over sliding windows of lines. The text surges
-where a window's sum rises above a threshold and dives where it falls back; the lines between the
-heaviest surge and its dive are the text. A page that marks its article (``article`` or ``main``)
-takes part with the lines inside it alone and any positive threshold, so short paragraphs stay.
+Markup is stripped into lines, one per block element, without those of menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments, and each line gets an effective length: its
+characters outside links, or zero where links are half of it. Effective lengths are summed over sliding
+windows of lines. The text surges where a window's sum rises above a threshold and dives where it falls
+back. The lines between the heaviest surge and its dive are the text. An ``article`` or ``main`` with a surging line is verified: all its lines are text. On a page
+without a surge all lines are, but for mostly linked ones outside ``article`` and ``main``.
 """
 
 from __future__ import annotations
@@ -42,7 +42,11 @@ _WORD = re.compile(r"[a-z]+")
 class Line:
     text: str
     linked: int  # characters inside links
-    scoped: bool  # inside article or main
+    scope: int  # the number of the outermost article or main around it, or 0
+
+    @property
+    def length(self) -> int:
+        return len(self.text) - self.linked if self.linked * 2 < len(self.text) else 0
 
 
 def _outside(name: str, attributes: str) -> bool:
@@ -61,7 +65,7 @@ def lines(html: str) -> list[Line]:
     html = _RAW.sub(lambda m: "</p>" if m[1].lower() == "title" else " ", html)
     out: list[Line] = []
     text: list[str] = []
-    linked = links = scope = 0
+    linked = links = scope = scopes = 0
     skipping, depth = "", 0
 
     def end() -> None:
@@ -69,7 +73,7 @@ def lines(html: str) -> list[Line]:
         if text:
             found = " ".join(unescape("".join(text)).split())
             if found:
-                out.append(Line(found, min(linked, len(found)), scope > 0))
+                out.append(Line(found, min(linked, len(found)), scopes if scope else 0))
             text.clear()
         linked = 0
 
@@ -102,6 +106,7 @@ def lines(html: str) -> list[Line]:
             if not closing and _outside(name, m[3]):
                 skipping, depth = name, 1
                 continue
+            scopes += not closing and not scope
             scope = max(0, scope + (-1 if closing else 1))
         elif not closing and name not in VOID and not m[3].rstrip().endswith("/") and _outside(name, m[3]):
             skipping, depth = name, 1
@@ -131,22 +136,17 @@ def surges(lengths: list[int], window: int, threshold: int) -> list[tuple[int, i
 def main_text(html: str | None, window: int = 3, threshold: int = 86) -> str:
     """The article's lines joined by ``\\n``; empty for a null, empty or textless page."""
     found = lines(html or "")
-    scoped = any(line.scoped for line in found)
-    if scoped:
-        found = [line for line in found if line.scoped]
-        lengths = [max(1, len(line.text) - line.linked) for line in found]
-        return "\n".join("\n".join(line.text for line in found[a:b]) for a, b in surges(lengths, window, 0))
-    lengths = [len(line.text) - line.linked if line.linked * 2 < len(line.text) else 0 for line in found]
+    lengths = [line.length for line in found]
     spans = surges(lengths, window, threshold)
     if not spans:
-        heaviest = [line.text for line, n in zip(found, lengths, strict=True) if n]
-        return "\n".join(heaviest)
+        return "\n".join(line.text for line in found if line.length or line.scope)
+    surging = {line.scope for a, b in spans for line in found[a:b] if line.scope and line.length}
     begin, stop = max(spans, key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]))
     while begin < stop and not lengths[begin]:
         begin += 1
     while stop > begin and not lengths[stop - 1]:
         stop -= 1
-    return "\n".join(line.text for line in found[begin:stop])
+    return "\n".join(line.text for i, line in enumerate(found) if begin <= i < stop or line.scope in surging)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), window: int = 3, threshold: int = 86) -> DataFrame:
