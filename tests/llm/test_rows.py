@@ -193,3 +193,8 @@ def test_lines_outside_an_article_are_not_lost():
     want = "\n".join(f"{k} {LONG}" for k in range(4))
     assert html_extract.main_text(f"<div>{text}</div><section><article><a href=1>card</a></article><article><a href=2>card</a></article></section>") == want
     assert html_extract.main_text(f"<div><a href=1>home</a></div><article><p>a</p>{text}<p>b</p><p>c</p><p>d</p><p>e</p></article>") == f"a\n{want}\nb\nc\nd\ne"
+
+
+def test_all_spans_are_kept():
+    html = f"<p>{LONG}</p><h2>List</h2><ul><li>a<li>b<li>c</ul><p><a href=1>a link</a> x</p><p>Sh is.</p><p>{LONG}</p><p>{LONG}</p>"
+    assert html_extract.main_text(html) == f"{LONG}\nList\na\nb\nc\na link x\nSh is.\n{LONG}\n{LONG}"

@@ -4,7 +4,8 @@ Markup is stripped into lines, one per block element, without those of menus, he
 sidebars, notices, adverts, forms and reader comments, and each line gets an effective length: its
 characters outside links, or zero where links are half of it. Effective lengths are summed over sliding
 windows of lines. The text surges where a window's sum rises above a threshold and dives where it falls
-back. The lines between the heaviest surge and its dive are the text. An ``article`` or ``main`` with a surging line is verified: all its lines are text. On a page
+back. The lines from the first surge to the last dive are the text, short ones and lists between spans
+included. An ``article`` or ``main`` with a surging line is verified: all its lines are text. On a page
 without a surge all lines are, but for mostly linked ones outside ``article`` and ``main``.
 """
 
@@ -141,7 +142,7 @@ def main_text(html: str | None, window: int = 3, threshold: int = 86) -> str:
     if not spans:
         return "\n".join(line.text for line in found if line.length or line.scope)
     surging = {line.scope for a, b in spans for line in found[a:b] if line.scope and line.length}
-    begin, stop = max(spans, key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]))
+    begin, stop = spans[0][0], spans[-1][1]
     while begin < stop and not lengths[begin]:
         begin += 1
     while stop > begin and not lengths[stop - 1]:
