@@ -198,3 +198,27 @@ def test_lines_outside_an_article_are_not_lost():
 def test_all_spans_are_kept():
     html = f"<p>{LONG}</p><h2>List</h2><ul><li>a<li>b<li>c</ul><p><a href=1>a link</a> x</p><p>Sh is.</p><p>{LONG}</p><p>{LONG}</p>"
     assert html_extract.main_text(html) == f"{LONG}\nList\na\nb\nc\na link x\nSh is.\n{LONG}\n{LONG}"
+
+
+PARSED = {
+    '<article><p>A <svg class="i"/> text</p><p>more': "A text\nmore",
+    "<!-- <script> --><article><p>a</p></article><script>x</script>": "a",
+    "<article><p>a</p><script>s = '<!--'</script><p>b</p></article>": "a\nb",
+    "<article><math><mi>x</mi><annotation>no</annotation></math> and <xmp><b>&amp;</xmp></article>": "x and\n<b>&amp;",
+    "<article><svg><title/><desc>no</desc><text>label</text></svg> a</article>": "label a",
+    f"<div class='has-sidebar'><p>{LONG}</p></div>": LONG,
+    f"<article class='post tag-social'><p>{LONG}</p></article>": LONG,
+    f"<div class='page notice'><p>{LONG}</p><p>{LONG}</p></div><p>{LONG}</p>": f"{LONG}\n{LONG}\n{LONG}",
+    f"<form><p>{LONG}</p><input></form>": LONG,
+    f"<body><p class='notice'>no<p>{LONG}<ul><li class=ad>no<li>yes</ul></body>": f"{LONG}\nyes",
+    f"<p>{LONG}</p><div class='comments'><p>{LONG}</p><p>{LONG}</p></div>": LONG,
+}
+
+
+@pytest.mark.parametrize("html", list(PARSED), ids=range(len(PARSED)))
+def test_markup_hides_no_text(html):
+    assert html_extract.main_text(html) == PARSED[html]
+
+
+def test_only_rows_of_bad_markup_are_slow():
+    assert html_extract.main_text("<div>" * 20_000 + "a" + "</section>" * 20_000) == "a"
