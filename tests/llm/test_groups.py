@@ -177,6 +177,16 @@ def test_no_lines(spark):
     assert linededup.line_dedup(spark.createDataFrame([(1, None)], "doc_id long, text string"), bits=10).collect()[0][1:] == (0, 0, [])
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    rows = [(None, "a b c\nsame words here"), (None, "same words here\nonly mine"), (None, "d e f\ng h i"), (7, "x y\nsame words here"), (7, "p q\nr s"), (7, "p q\nr s"), (-(1 << 63), "t u\na b c"), (8, "lone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = linededup.line_dedup(df, hashed=True, bits=10)
+    assert removed.count() == len(rows)
+    left = [line for r in linededup.without_lines(df, removed).collect() for line in r.text.split("\n")]
+    once = {"a b c", "same words here", "only mine", "d e f", "g h i", "x y", "t u", "lone"}
+    assert Counter(w for w in left if w) == Counter({**dict.fromkeys(once, 1), "p q": 2, "r s": 2})
+
+
 def test_line_query_equals_sql(spark, sf_dir):
     name = "op10_set_similarity_line_dedup"
     same(queries.queries()[name](spark, sf_dir), connection(sf_dir), queries.oracle_sql()[name])

@@ -4,7 +4,8 @@ A line is the set of its words (split at white space). Words are ordered by rari
 similarity ``num/den`` or more share one of their first n - ceil(n * num / den) + 1 words, so sets meet
 by those prefix words. Pairs pass a length filter, a positional filter and a bit-signature filter, and
 are verified on the words themselves. A line goes if any earlier line, in the order of (id, line
-number), is as similar as that; equal sets are one node, so copies make no pairs.
+number), is as similar as that; equal sets are one node, so copies make no pairs. Different texts with
+one id, or none, are documents of their own, in the order of a hash of their texts.
 
 Rarity comes from a table of word counts by hash, over the whole corpus; any table gives the same
 result, a finer one fewer candidates. Sets are routed by 64-bit hashes. Prefix words shared by more
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import numbered
 from ..scratch import discard, materialise, release
 
 HASH_BITS = 57
@@ -36,10 +38,28 @@ def words(line: Column) -> Column:
     return F.array_remove(parts(line), "")
 
 
-def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line_no, line) of every line with words, in which a null id is the smallest long."""
-    picked = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    lines = picked.select(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def documents_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc, rep, text) of every row: in doc a null id is the smallest long, and rep numbers the different texts of one doc.
+
+    Only texts whose id is not theirs alone are looked up by a hash; where all ids are unique nothing is joined.
+    """
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = df.select(id_.alias("id"), F.coalesce(id_.cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text"))
+    shared = materialise(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc"), "shared")
+    if shared.isEmpty():
+        return rows.select("id", "doc", F.lit(0).alias("rep"), "text")
+    told = rows.withColumn("hash", F.xxhash64("text"))
+    different = materialise(told.select("doc", "hash").join(shared, "doc", "left_semi").distinct(), "different")
+    placed = numbered(different, ["doc", "hash"], "place")
+    first = placed.groupBy("doc").agg(F.min("place").alias("first"))
+    reps = placed.join(first, "doc").select("doc", "hash", (F.col("place") - F.col("first")).cast("int").alias("rep"))
+    found = told.join(reps, ["doc", "hash"], "left").select("id", "doc", F.coalesce("rep", F.lit(0)).alias("rep"), "text")
+    return materialise(found, "documents")
+
+
+def lines_of(documents: DataFrame) -> DataFrame:
+    """(doc, rep, line_no, line) of every line with words."""
+    lines = documents.select("doc", "rep", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.filter(F.col("line").rlike(_WORD))
 
 
@@ -66,20 +86,28 @@ def word_keys(line: Column, grades: Column, bits: int) -> Column:
     return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
 
 
-def order_of(doc: Column, line_no: Column) -> Column:
-    """One number in the order of (doc, line_no)."""
-    return (doc.cast("decimal(20,0)") * F.lit(_LINE).cast("decimal(11,0)") + line_no.cast("decimal(11,0)")).cast("decimal(38,0)")
+def order_of(doc: Column, rep: Column, line_no: Column) -> Column:
+    """One number in the order of (doc, rep, line_no)."""
+    within = rep.cast("decimal(11,0)") * F.lit(_LINE).cast("decimal(11,0)") + line_no.cast("decimal(11,0)")
+    return (doc.cast("decimal(20,0)") * F.lit(_LINE * _LINE).cast("decimal(19,0)") + within).cast("decimal(38,0)")
+
 
+def place_of(order: Column) -> list[Column]:
+    """doc, rep and line_no of ``order``; division of decimals would round."""
+    within = F.pmod(order, F.lit(_LINE * _LINE).cast("decimal(38,0)")).cast("long")
+    doc = F.call_function("div", order - within.cast("decimal(38,0)"), F.lit(_LINE * _LINE).cast("decimal(38,0)"))
+    return [doc.cast("long").alias("doc"), F.shiftright(within, 31).cast("int").alias("rep"), within.bitwiseAND(F.lit(_LINE - 1)).cast("int").alias("line_no")]
 
-def signed_lines(df: DataFrame, id_col: str, text_col: str, num: int, den: int, bits: int) -> DataFrame:
-    """A row per line with words: doc, line_no, s (set hash), s2 (another), n, signature, prefix."""
-    grades = materialise(rarity_table(df, text_col, bits), "rarity")
-    release(df.sparkSession)
-    keyed = lines_of(df, id_col, text_col).select("*", grades.scalar().alias("grades")).select("doc", "line_no", word_keys(F.col("line"), F.col("grades"), bits).alias("keys"))
+
+def signed_lines(documents: DataFrame, num: int, den: int, bits: int) -> DataFrame:
+    """A row per line with words: doc, rep, line_no, s (set hash), s2 (another), n, signature, prefix."""
+    grades = materialise(rarity_table(documents, "text", bits), "rarity")
+    release(documents.sparkSession)
+    keyed = lines_of(documents).select("*", grades.scalar().alias("grades")).select("doc", "rep", "line_no", word_keys(F.col("line"), F.col("grades"), bits).alias("keys"))
     n = F.size("keys")
     kept = (n - F.ceil(n * num / F.lit(den)) + 1).cast("int")
     signature = F.aggregate("keys", F.lit(0).cast("long"), lambda bits_set, k: bits_set.bitwiseOR(_bit(k)))
-    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), signature.alias("signature"), F.slice("keys", F.lit(1), kept).alias("prefix"))
+    return keyed.select("doc", "rep", "line_no", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), signature.alias("signature"), F.slice("keys", F.lit(1), kept).alias("prefix"))
 
 
 def _bit(key: Column) -> Column:
@@ -104,20 +132,20 @@ def _side(name: str) -> dict[str, Column]:
     return {"n": F.shiftright(size, 32), "left": size.bitwiseAND(F.lit((1 << 32) - 1)), "signature": F.col(f"{name}.signature")}
 
 
-def wanted_lines(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(s, order, line, n, bits) of the ``wanted`` (s, order, doc, line_no), read again from the documents and stored;
+def wanted_lines(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, order, line, n, bits) of the ``wanted`` (s, order, doc, rep, line_no), read again from the documents and stored;
     n words, and a signature four times as wide as the postings'.
 
     A bit table of the wanted lines keeps the others out of the shuffle.
     """
     bits = 23
-    spot = F.xxhash64("doc", "line_no").bitwiseAND(F.lit((1 << bits) - 1))
+    spot = F.xxhash64("doc", "rep", "line_no").bitwiseAND(F.lit((1 << bits) - 1))
     marks = wanted.groupBy(F.shiftright(spot, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("mark"))
-    cells = df.sparkSession.range(1 << (bits - 6)).withColumnRenamed("id", "cell").join(marks, "cell", "left")
+    cells = documents.sparkSession.range(1 << (bits - 6)).withColumnRenamed("id", "cell").join(marks, "cell", "left")
     runs = cells.groupBy(F.shiftright("cell", 8).alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("mark", F.lit(0).cast("long")).alias("mark")))), lambda x: x["mark"]).alias("marks"))
     table = materialise(runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "marks"))), lambda x: x["marks"])).alias("marks")), "marks")
     marked = F.getbit(F.get(table.scalar(), F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(F.lit(63)).cast("int")) == 1
-    found = lines_of(df, id_col, text_col).filter(marked).join(wanted, ["doc", "line_no"]).select("s", "order", "line", F.transform(F.array_distinct(words(F.col("line"))), lambda w: F.xxhash64(w)).alias("hashes"))
+    found = lines_of(documents).filter(marked).join(wanted, ["doc", "rep", "line_no"]).select("s", "order", "line", F.transform(F.array_distinct(words(F.col("line"))), lambda w: F.xxhash64(w)).alias("hashes"))
 
     def quarter(k: int) -> Column:
         return F.aggregate(F.filter("hashes", lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(_bit(h)))
@@ -179,26 +207,23 @@ def met_pairs(lines: DataFrame, near: int, num: int, den: int) -> DataFrame:
     return met.select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), *crowded).distinct()
 
 
-def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, bits: int = 20, near: int = 256, rounds: int = 1) -> DataFrame:
-    """(doc, line_no, removed) for every line with words; ``num/den`` is the least Jaccard similarity.
+def removed_lines(documents: DataFrame, num: int = 4, den: int = 5, bits: int = 20, near: int = 256, rounds: int = 1) -> DataFrame:
+    """(doc, rep, line_no, removed) for every line with words of ``documents_of``; ``num/den`` is the least Jaccard similarity.
 
-    Lines without words are never removed and don't come out. A null id is ordered before all others; of
-    lines in rows that repeat an id, equal positions tie and all of them stay or go together.
+    Lines without words are never removed and don't come out. A null id is ordered before all others; in
+    rows that repeat an id and its text, equal positions tie and all of them stay or go together.
     """
-    spark = df.sparkSession
-    lines = materialise(signed_lines(df, id_col, text_col, num, den, bits), "lines").withColumn("order", order_of(F.col("doc"), F.col("line_no")))
+    spark = documents.sparkSession
+    lines = materialise(signed_lines(documents, num, den, bits), "lines").withColumn("order", order_of(F.col("doc"), F.col("rep"), F.col("line_no")))
     met = materialise(met_pairs(lines, near, num, den), "met")
-    wide, lines = lines, materialise(lines.select("doc", "line_no", "s", "s2", "order"), "lines")
+    wide, lines = lines, materialise(lines.select("doc", "rep", "line_no", "s", "s2", "order"), "lines")
     discard(wide)  # prefixes have done their work
     release(spark)
-    sets = materialise(
-        lines.groupBy("s", "s2").agg(F.min("order").alias("order")).withColumn("doc", F.floor(F.col("order") / _LINE).cast("long")).withColumn("line_no", F.pmod(F.col("order"), F.lit(_LINE).cast("decimal(38,0)")).cast("int")),
-        "sets",
-    )
+    sets = materialise(lines.groupBy("s", "s2").agg(F.min("order").alias("order")).select("s", "s2", "order", *place_of(F.col("order"))), "sets")
     few, crowd = met.filter("b IS NOT NULL").select("a", "b"), met.filter("b IS NULL").select("word", F.col("a").alias("s"), "size", "signature")
     named = few.select(F.col("a").alias("s")).unionByName(few.select(F.col("b").alias("s"))).unionByName(crowd.select("s")).distinct()
-    wanted = materialise(named.join(sets, "s").select("s", "order", "doc", "line_no"), "wanted")
-    texts = wanted_lines(df, id_col, text_col, wanted)
+    wanted = materialise(named.join(sets, "s").select("s", "order", "doc", "rep", "line_no"), "wanted")
+    texts = wanted_lines(documents, wanted)
     release(spark)
     dropped = materialise(verify(texts, few, num, den), "gone")
     if not crowd.isEmpty():
@@ -217,7 +242,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
     fate = sets.join(dropped, ["s", "order"], "left").select("s", "s2", F.col("order").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     discard(texts)
-    return lines.select("doc", "line_no", "s", "s2", "order").join(fate, ["s", "s2"]).select("doc", "line_no", (F.col("gone") | (F.col("order") > F.col("first"))).alias("removed"))
+    return lines.select("doc", "rep", "line_no", "s", "s2", "order").join(fate, ["s", "s2"]).select("doc", "rep", "line_no", (F.col("gone") | (F.col("order") > F.col("first"))).alias("removed"))
 
 
 def _meet(texts: DataFrame, later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
@@ -229,24 +254,31 @@ def _meet(texts: DataFrame, later: DataFrame, earlier: DataFrame, num: int, den:
     return gone
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per id of ``df`` that has a text: id, n_lines, n_removed, removed_lines (line numbers from 0, in order).
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False, **options) -> DataFrame:
+    """One row per row of ``df``: id, n_lines, n_removed, removed_lines (line numbers from 0, in order), and text_hash if ``hashed``.
 
-    Null texts have no row's worth of lines and give zeros; empty texts have one line, which stays;
-    rows that repeat an id are one entry; an empty table gives no rows; other columns are ignored,
+    Null texts have no lines and give zeros; empty texts have one line, which stays; rows that repeat
+    an id are decided each by its own text; an empty table gives no rows; other columns are ignored,
     whatever their names.
     """
-    source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    removed = removed_lines(source, "id", "text", **options).filter("removed").groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
-    per_doc = source.groupBy("id").agg(F.max(F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).cast("long").alias("n_lines"))
+    documents = documents_of(df, id_col, text_col)
+    removed = removed_lines(documents, **options).filter("removed").groupBy("doc", "rep").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
+    rows = documents.select("id", "doc", "rep", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.xxhash64("text").alias("text_hash"))
     gone = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return per_doc.join(removed, F.coalesce("id", F.lit(-(1 << 63))) == F.col("doc"), "left").select(F.col("id").alias(id_col), "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))
+    return rows.join(removed, ["doc", "rep"], "left").select(F.col("id").alias(id_col), "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"), *(["text_hash"] if hashed else []))
 
 
 def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the lines named in ``removed`` (id, removed_lines) taken out of its texts; all columns stay."""
-    gone = removed.filter(F.size("removed_lines") > 0).select(F.col(id_col).alias("_id"), F.col("removed_lines").alias("_gone"))
+    """``df`` without the lines that ``removed`` (of ``line_dedup``) names; all columns stay.
+
+    With text_hash in ``removed`` a row is known by its id and text. Without it ids must be unique.
+    """
+    keys = [F.col(id_col).alias("_id"), *([F.col("text_hash").alias("_hash")] if "text_hash" in removed.columns else [])]
+    gone = removed.filter(F.size("removed_lines") > 0).select(*keys, F.col("removed_lines").alias("_gone"))
+    on = F.col(id_col).eqNullSafe(F.col("_id"))
+    if len(keys) > 1:
+        gone, on = gone.dropDuplicates(["_id", "_hash"]), on & (F.xxhash64(text_col) == F.col("_hash"))
     kept = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    joined = df.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    joined = df.join(gone, on, "left")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns])
