@@ -175,6 +175,22 @@ def test_contaminated(spark, monkeypatch):
     assert decontam.contaminated(docs, items.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_a_long_item_widens_no_other(spark, monkeypatch):
+    rng = random.Random(9)
+    short = (100, "What is the capital of France?\nAnswer: Paris")
+    items = [*ITEMS, short, (101, " ".join(f"long{rng.randrange(10**6)}" for _ in range(1_000)))]
+    spread = " ".join(f"{w} " + " ".join(f"n{rng.randrange(10**6)}" for _ in range(30)) for w in "france of what is the capital of france and paris".split())
+    ix = decontam.build_index(items)
+    assert not ix.matches(spread) and not ix.matches(f"{spread} {' '.join(items[3][1].split()[:4])}")
+    assert [ix.ids[k] for k in ix.matches(f"{spread} what is the capital of france answer paris")] == [100] and ix.matches(items[-1][1])
+    docs = spark.createDataFrame([(i, f"x y {t} z {spread}") for i, t in items], "doc_id long, text string").coalesce(1)
+    table = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    one = sorted(map(tuple, decontam.contaminated(docs, table).collect()))
+    blocks = decontam.item_blocks
+    monkeypatch.setattr(decontam, "item_blocks", lambda *a: blocks(*a, most_bytes=4_000))
+    assert len(decontam.item_blocks(table, "item_id", "text")) > 1 and sorted(map(tuple, decontam.contaminated(docs, table).collect())) == one
+
+
 def test_decontamination_query(spark, sf_dir):
     norm = lambda t: f" {' '.join(decontam.words(t))} "
     items = [(r.item_id, norm(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

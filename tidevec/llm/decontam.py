@@ -2,8 +2,9 @@
 
 Each document is cut into overlapping passages, so that an item of any length lies whole in one. A
 passage's different words are a query; block-max WAND retrieves every item whose score reaches a share
-of the item's best possible score (its own text's). Each retrieved item is verified: the words of its
-question and those of its answer must each be found in the passage, in order.
+of the item's best possible score (its own text's). Each retrieved item is verified in windows twice as
+long as itself: one must score that share, and the words of the item's question and those of its answer
+must each be found in it, in order. So what is found doesn't depend on how long other items are.
 
 An item's impacts are divided by its own threshold, so one threshold (1) holds for all items and term
 bounds compare across items.
@@ -22,9 +23,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"[^\W_]+")
 
@@ -61,23 +65,36 @@ def in_order(needle: list[str], hay: list[str]) -> float:
     return row[-1] / len(needle)
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: their number, their words, the words of the longest, and for words the items that hold them."""
+
+    items: int
+    words: int
+    longest: int
+    holding: dict[str, int]
+
+
 @dataclass
 class Index:
-    """items: (id, words); postings by term, in item order, in blocks with their largest impact."""
+    """items: (id, words); postings by term, in item order, in blocks with their largest impact; ``statistics`` are
+    of all items, where these are a part of them."""
 
     ids: list[int]
     texts: list[list[str]]
     splits: list[tuple[list[str], list[str]]]
     share: float = 0.6
     block: int = 8
+    statistics: Statistics | None = None
     terms: dict[str, int] = field(init=False)
     postings: list[list[tuple[int, float]]] = field(init=False)
 
     def __post_init__(self) -> None:
         self.terms, self.postings = {}, []
-        n = len(self.texts)
-        average = sum(map(len, self.texts)) / n if n else 1.0
-        holding = Counter(w for text in self.texts for w in set(text))
+        if self.statistics is None:
+            self.statistics = Statistics(len(self.texts), sum(map(len, self.texts)), max(map(len, self.texts), default=0), Counter(w for text in self.texts for w in set(text)))
+        n, holding = self.statistics.items, self.statistics.holding
+        average = self.statistics.words / n if n else 1.0
         for item, text in enumerate(self.texts):
             weight = {w: math.log(1 + (n - holding[w] + 0.5) / (holding[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(text) / average)) for w, c in Counter(text).items()}
             best = sum(weight.values())
@@ -87,6 +104,15 @@ class Index:
                     self.postings.append([])
                 self.postings[self.terms[w]].append((item, x / (self.share * best)))
 
+    @cached_property
+    def impacts(self) -> list[dict[str, float]]:
+        """Each item's impacts by word."""
+        out: list[dict[str, float]] = [{} for _ in self.ids]
+        for w, t in self.terms.items():
+            for item, x in self.postings[t]:
+                out[item][w] = x
+        return out
+
     @cached_property
     def bounds(self) -> np.ndarray:
         """Each term's largest impact."""
@@ -175,7 +201,7 @@ class Index:
     @property
     def passage(self) -> int:
         """Words in a passage, an even number: twice the longest item, so that half of a passage holds any item."""
-        return max(64, 2 * max(map(len, self.texts), default=0))
+        return max(64, 2 * self.statistics.longest)
 
     def _reachable(self, ids: np.ndarray, half: np.ndarray, most: int = 64) -> Iterator[int]:
         """Passages in which some range of items can reach the threshold; passage k is halves k and k + 1 of the
@@ -191,7 +217,7 @@ class Index:
         yield from np.flatnonzero((sums[:-1] + sums[1:] >= self.screen[1]).any(axis=1)).tolist()
 
     def matches(self, text: str | None, overlap: float = 0.8) -> dict[int, tuple[float, float, float, int]]:
-        """For each item found in the text: (share of its best score, question overlap, answer overlap, first word of the passage)."""
+        """For each item found in the text: (share of its best score, question overlap, answer overlap, first word of the window)."""
         if not self.postings:
             return {}
         found = words(text)
@@ -201,24 +227,37 @@ class Index:
             return {}
         ids, size = known[at], self.passage
         out: dict[int, tuple[float, float, float, int]] = {}
+        tried: dict[int, int] = {}  # for each item, the first of its windows that isn't tried
         for k in self._reachable(ids, at // (size // 2)):
             begin = k * (size // 2)
             passage = found[begin : begin + 2 * (size // 2)]
             query = np.array(sorted({self.terms[w] for w in passage if w in self.terms}), np.int64)
             if self.ranges[query].sum(axis=0).max() < 1 - 1e-6:
                 continue
-            for item, score in self.retrieve(query.tolist()):
-                question, answer = self.splits[item]
-                q, a = in_order(question, passage), in_order(answer, passage)
-                if q >= overlap and a >= overlap and (score * self.share, q, a) > out.get(item, (0.0, 0.0, 0.0, 0))[:3]:
-                    out[item] = (score * self.share, q, a, begin)
+            for item, _ in self.retrieve(query.tolist()):
+                step = len(self.texts[item])
+                # windows that the passage overlaps: they begin at multiples of the item's length and are twice as long
+                first, last = max(0, begin // step - 1, tried.get(item, 0)), (begin + len(passage) - 1) // step
+                tried[item] = max(last + 1, tried.get(item, 0))
+                for j in range(first, last + 1):
+                    share, q, a = self._verify(item, found[j * step : (j + 2) * step], overlap)
+                    if q >= overlap and a >= overlap and (share, q, a) > out.get(item, (0.0, 0.0, 0.0, 0))[:3]:
+                        out[item] = (share, q, a, j * step)
         return out
 
+    def _verify(self, item: int, window: list[str], overlap: float) -> tuple[float, float, float]:
+        """The window's share of the item's best score and its overlaps with question and answer; zeros below the shares asked."""
+        impacts, (question, answer) = self.impacts[item], self.splits[item]
+        score = sum(impacts[w] for w in sorted(impacts.keys() & set(window)))
+        if score < 1 - 1e-9 or (q := in_order(question, window)) < overlap:
+            return 0.0, 0.0, 0.0
+        return score * self.share, q, in_order(answer, window)
 
-def build_index(rows: list, share: float = 0.6) -> Index:
+
+def build_index(rows: list, share: float = 0.6, statistics: Statistics | None = None) -> Index:
     """An index of (id, text) rows; items without words are left out, as nothing can match them."""
     kept = sorted((r[0] if r[0] is not None else -1, r[1]) for r in rows if words(r[1]))
-    return Index([i for i, _ in kept], [words(t) for _, t in kept], [question_and_answer(t) for _, t in kept], share)
+    return Index([i for i, _ in kept], [words(t) for _, t in kept], [question_and_answer(t) for _, t in kept], share, statistics=statistics)
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, most_bytes: int = 32 << 20) -> list[DataFrame]:
@@ -229,18 +268,45 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, most_bytes: int =
     return [picked.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k) for k in range(n)]
 
 
+def indexes(items: DataFrame, id_col: str, text_col: str, share: float) -> Iterator[Broadcast]:
+    """An index of each part of the items, by the statistics of all."""
+    spark, parts = items.sparkSession, item_blocks(items, id_col, text_col)
+    if len(parts) == 1:
+        yield spark.sparkContext.broadcast(build_index([tuple(r) for r in parts[0].collect()], share))
+        return
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(words(t.as_py())) for t in batch.column(0)]
+            yield pa.record_batch([pa.array([sum(x > 0 for x in n)], pa.int64()), pa.array([sum(n)], pa.int64()), pa.array([max(n, default=0)], pa.int64())], names=["items", "words", "longest"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter(w for t in batch.column(0) for w in set(words(t.as_py())))
+            yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+
+    def counted(part: DataFrame) -> DataFrame:
+        return part.select("text").mapInArrow(held, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    texts = items.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    total = texts.mapInArrow(sizes, "items long, words long, longest long").agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("items"), F.sum("words"), F.max("longest"))]).first()
+    every = materialise(counted(texts), "item-words")
+    for part in parts:
+        holding = dict(every.join(counted(part).select("word"), "word", "left_semi").toArrow().to_pandas().itertuples(index=False, name=None))
+        yield spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], share, Statistics(*total, holding)))
+
+
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """A row per document and item found in it: id, item_id, score_share, question_overlap, answer_overlap, passage_start.
 
     A null or empty text, or item, matches nothing; of items with one id each can match; a null item id
     reads -1; repeated rows come out each; without items or documents there are no rows; other columns
-    are ignored, whatever their names. Tables of items beyond a block are matched block by block.
+    are ignored, whatever their names. Tables of items beyond a block are matched block by block, to the same result.
     """
     picked = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = f"`{id_col}` long, item_id long, score_share double, question_overlap double, answer_overlap double, passage_start long"
     result = None
-    for part in item_blocks(items, item_id, item_text):
-        held = df.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], share))
+    for held in indexes(items, item_id, item_text, share):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
@@ -257,8 +323,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """``df`` without the documents in which an item is found; all columns stay, nothing is shuffled."""
     at = df.columns.index(text_col)
-    for part in item_blocks(items, item_id, item_text):
-        held = df.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], share))
+    for held in indexes(items, item_id, item_text, share):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
