@@ -71,6 +71,14 @@ def test_odd_texts(spark):
 # -- toxicity --------------------------------------------------------------------------------------
 
 
+def test_rare_languages_are_taught(spark):
+    word = lambda k: "".join(chr(97 + (k // 26**p) % 26) for p in range(3))
+    rows = [(k, f"{word(k % 210)} " * 5, f"l{k % 210:03}") for k in range(210 * 6 + 400)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").coalesce(2)
+    sample = labelled.bounded_sample(df, "lang", "id", 7)
+    assert sample.columns == df.columns and sample.select("lang").distinct().count() == 210 and sample.count() < df.count()
+
+
 def test_folding():
     assert toxicity.fold("You 1D10T!") == " you idiot " and toxicity.fold("ѕtυpіd") == " stupid " and toxicity.fold("stúp​id") == " stupid "
     assert toxicity.fold("$tupid m@ggot") == " tupid maggot " and toxicity.fold(None) == " " and toxicity.fold("!!") == " "
