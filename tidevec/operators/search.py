@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import distance, rounded
+from ..scratch import materialise
 
 MAX_K = 20
 BLOCK_BYTES = 64 << 20
+TILE_NUMBERS = 1 << 21  # distances in memory at once
 
 
 class VectorError(ValueError):
@@ -43,8 +47,8 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "vid"))).select("rank", "vid", "distance")
 
 
-def pairwise(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """[query, vector] distances, rounded to six digits; a vector without length is at cosine distance 1."""
+def pairwise(queries: np.ndarray, vectors: np.ndarray, metric: str, digits: int = 6) -> np.ndarray:
+    """[query, vector] distances, rounded; a vector without length is at cosine distance 1."""
     if metric == "l2":
         found = np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None] - 2 * queries @ vectors.T, 0))
     elif metric == "ip":
@@ -54,7 +58,7 @@ def pairwise(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarra
         found = 1 - unit[0] @ unit[1].T
     else:
         raise VectorError(f"unknown metric: {metric!r}")
-    return np.round(found, 6) + 0.0
+    return np.round(found, digits) + 0.0
 
 
 def matrix(column: pa.ListArray) -> np.ndarray:
@@ -80,45 +84,72 @@ def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Dat
     return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) for b in range(n)]
 
 
-def _block_search(vectors: DataFrame, block: DataFrame, k: int, metric: str, exclude_self: bool, group: bool, eps: float | None) -> DataFrame:
-    rows = block.select("qid", "qvec", *(["qgroup"] if group else [])).orderBy("qid").toArrow()
-    qids = rows["qid"].to_numpy()
-    held = vectors.sparkSession.sparkContext.broadcast((qids, matrix(rows["qvec"].combine_chunks()), np.array(rows["qgroup"].to_pylist()) if group else None))
+def _closest(d: np.ndarray, vid: np.ndarray, first: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vid, distance) of what may be among the k nearest of each row of ``d``, whose queries count from ``first``."""
+    at = min(k, d.shape[1]) - 1
+    worst = np.partition(d, at, axis=1)[:, at]
+    qi, vi = np.nonzero((d <= worst[:, None]) & np.isfinite(d))
+    return qi + first, vid[vi], d[qi, vi]
+
+
+def _block_search(vectors: DataFrame, held: Broadcast, k: int, metric: str, exclude_self: bool, group: bool, eps: float | None, by_segment: bool) -> DataFrame:
+    """(qid, vid, distance) of each task's k nearest for the queries in ``held``; by segment, of each segment's in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries, groups = held.value
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        best: dict = {}
         for batch in batches:
             if not batch.num_rows or not len(qids):
                 continue
-            vid = batch.column(0).to_numpy()
-            d = pairwise(queries, matrix(batch.column(1)), metric)
-            if exclude_self:
-                d[qids[:, None] == vid[None, :]] = np.inf
-            if groups is not None:
-                d[groups[:, None] != np.array(batch.column(2).to_pylist())[None, :]] = np.inf
-            if eps is not None:
-                d[d > eps] = np.inf
-            worst = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            qi, vi = np.nonzero((d <= worst[:, None]) & np.isfinite(d))
-            best = _keep(np.concatenate((best[0], qi)), np.concatenate((best[1], vid[vi])), np.concatenate((best[2], d[qi, vi])), k)
-        yield pa.record_batch([pa.array(qids[best[0]] if len(best[0]) else np.zeros(0, np.int64)), pa.array(best[1]), pa.array(best[2])], names=["qid", "vid", "distance"])
-
-    return vectors.select("vid", "vec", *(["vgroup"] if group else [])).mapInArrow(run, "qid long, vid long, distance double")
-
-
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False, group: bool = False, eps: float | None = None, most: int | None = MAX_K) -> DataFrame:
+            every, vecs = batch.column(0).to_numpy(), matrix(batch.column(1))
+            own = np.array(batch.column(2).to_pylist()) if groups is not None else None
+            segments = batch.column(batch.num_columns - 1).to_pylist() if by_segment else None
+            for segment in dict.fromkeys(segments or [None]):
+                at = np.flatnonzero([s == segment for s in segments]) if segments else slice(None)
+                vid, step = every[at], max(1, TILE_NUMBERS // max(1, len(every[at])))
+                now = best.get(segment, empty)
+                for first in range(0, len(qids), step):
+                    tile = slice(first, first + step)
+                    d = pairwise(queries[tile], vecs[at], metric)
+                    if exclude_self:
+                        d[qids[tile, None] == vid[None, :]] = np.inf
+                    if groups is not None:
+                        d[groups[tile, None] != own[at][None, :]] = np.inf
+                    if eps is not None:
+                        d[d > eps] = np.inf
+                    now = tuple(np.concatenate(x) for x in zip(now, _closest(d, vid, first, k), strict=True))
+                best[segment] = _keep(*now, k)
+        for qi, vid, d in best.values():
+            yield pa.record_batch([pa.array(qids[qi]), pa.array(vid), pa.array(d)], names=["qid", "vid", "distance"])
+
+    return vectors.select("vid", "vec", *(["vgroup"] if group else []), *(["segment_id"] if by_segment else [])).mapInArrow(run, "qid long, vid long, distance double")
+
+
+def for_blocks(queries: DataFrame, search: Callable[[Broadcast], DataFrame], group: bool = False) -> DataFrame:
+    """``search`` of each block of the queries: (ids, matrix, groups), sent to all tasks. Of several blocks one is held at a time, and its finds are stored."""
+    blocks, found, spark = query_blocks(queries), None, queries.sparkSession
+    for block in blocks:
+        rows = block.select("qid", "qvec", *(["qgroup"] if group else [])).orderBy("qid").toArrow()
+        held = spark.sparkContext.broadcast((rows["qid"].to_numpy(), matrix(rows["qvec"].combine_chunks()), np.array(rows["qgroup"].to_pylist()) if group else None))
+        part = search(held)
+        if len(blocks) > 1:
+            part = materialise(part, "block")
+            held.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False, group: bool = False, eps: float | None = None, most: int | None = MAX_K, by_segment: bool = False) -> DataFrame:
     """(qid, rank, vid, distance): for each query (qid, qvec) its k nearest vectors (vid, vec), ties by vid.
 
     Every task multiplies its vectors with a block of queries and keeps k per query, so k rows per query
     and task are shuffled. ``group``: only vectors whose vgroup is the query's qgroup. ``eps``: only
-    vectors within that distance. Queries without a near enough vector have no row.
+    vectors within that distance. ``by_segment``: tasks keep k for each segment_id that they meet; the
+    result is the same. Queries without a near enough vector have no row.
     """
     check_k(k, most)
-    found = None
-    for block in query_blocks(queries):
-        part = _block_search(vectors, block, k, metric, exclude_self, group, eps)
-        found = part if found is None else found.unionByName(part)
+    found = for_blocks(queries, lambda held: _block_search(vectors, held, k, metric, exclude_self, group, eps, by_segment), group)
     order = Window.partitionBy("qid").orderBy("distance", "vid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "vid", "distance")
 
@@ -132,3 +163,29 @@ def recall(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:
 def vector_sums(vectors: DataFrame, group: str) -> DataFrame:
     """(group, pos, sum, n): element-wise sums."""
     return vectors.select(group, F.posexplode("vec").alias("pos", "x")).groupBy(group, "pos").agg(F.sum(F.col("x").cast("double")).alias("sum"), F.count(F.lit(1)).alias("n"))
+
+
+def pair_stats(vectors: DataFrame, group: str, metric: str = "cosine", block: int = 2048) -> DataFrame:
+    """(group, pairs, min, avg and max distance) over all pairs of different vectors of a group; groups of one have no row.
+
+    A group is cut into blocks of about ``block`` vectors, and each two blocks are multiplied in a task of
+    their own: a row a pair of blocks comes out, so a large group takes many tasks, and no pair is a row.
+    """
+    sizes = vectors.groupBy(F.col(group).alias("_group")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    placed = vectors.select("vid", "vec", F.col(group).alias("_group")).join(sizes, F.col("_group").eqNullSafe(sizes["_group"])).drop(sizes["_group"])
+    mine = placed.withColumn("_own", F.pmod(F.xxhash64("vid"), F.col("_n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other")
+    sent = mine.select("vid", "vec", "_group", "_own", other).select("vid", "vec", "_group", "_own", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf["_a"].iloc[0], pdf["_b"].iloc[0]
+        left, right = (pdf[pdf["_own"] == x].sort_values("vid") for x in (a, b))
+        if left.empty or right.empty:
+            return pd.DataFrame()
+        d = pairwise(np.stack(left["vec"]).astype(np.float64), np.stack(right["vec"]).astype(np.float64), metric, 15)
+        kept = d[np.triu_indices(len(d), 1)] if a == b else d.ravel()
+        return pd.DataFrame([(pdf["_group"].iloc[0], len(kept), kept.min(), kept.sum(), kept.max())] if len(kept) else [], columns=["_group", "n", "least", "total", "most"])
+
+    schema = sent.select("_group").schema.add("n", "long").add("least", "double").add("total", "double").add("most", "double")
+    parts = sent.groupBy("_group", "_a", "_b").applyInPandas(run, schema).groupBy(F.col("_group").alias(group))
+    return parts.agg(F.sum("n").alias("pairs"), rounded(F.min("least")).alias("min_distance"), rounded(F.sum("total") / F.sum("n")).alias("avg_distance"), rounded(F.max("most")).alias("max_distance"))

@@ -189,8 +189,7 @@ def segments_needing_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def per_segment_topk_merge(spark: SparkSession, sf: str) -> DataFrame:
     s = materialise(segmented(spark, sf), "levels")
-    ids = [r[0] for r in s.select("segment_id").distinct().collect()]
-    return planner.per_segment_top(s, asked(s), ids, 5)
+    return planner.per_segment_top(s, asked(s), 5)
 
 
 # -- graphs ----------------------------------------------------------------------------------------
