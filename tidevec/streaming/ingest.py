@@ -10,11 +10,18 @@ from ..scratch import place
 from ..store import VectorStore
 
 
-def ingest(vectors: DataFrame, store: VectorStore, checkpoint: str | None = None, order: str | None = "seq", once: bool = True) -> StreamingQuery:
-    """Upsert a stream of (vid, vec[, seq]) batch by batch: each batch is put, sealed and compacted before the next."""
+def ingest(vectors: DataFrame, store: VectorStore, checkpoint: str | None = None, order: str | None = "seq", once: bool = True, name: str = "stream", late: tuple[str, str] | None = None) -> StreamingQuery:
+    """Upsert a stream of (vid, vec[, seq]) batch by batch: each batch is put, sealed and compacted before the next.
 
-    def put(batch: DataFrame, _: int) -> None:
-        store.put_batch(batch, order if order in batch.columns else None)
+    The store keeps the last batch of each stream ``name``: a batch that comes again after a failure is
+    put once. ``late`` (a time column, a delay): rows that repeat a key and time within the delay are
+    dropped, with a watermark.
+    """
+    if late:
+        vectors = vectors.withWatermark(*late).dropDuplicatesWithinWatermark(["vid", late[0]])
+
+    def put(batch: DataFrame, number: int) -> None:
+        store.put_batch(batch, order if order in batch.columns else None, stream=name, batch_id=number)
 
     writer = vectors.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint or place(vectors.sparkSession, "ingest"))
     return writer.trigger(availableNow=True).start() if once else writer.start()
