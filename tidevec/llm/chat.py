@@ -17,7 +17,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 LOSS_ROLE = "assistant"
 _TURN = re.compile(r"<turn:([^<>]*)>(.*?)</turn>\n", re.S)
-_PLACEHOLDER = re.compile(r"<(image|audio|document):(\d+)>")
+_PLACEHOLDER = re.compile(r"<(image|audio|document|other):(\d+)>")
 _CODED = re.compile(r"\\([\\lg])")
 _PLAIN = {"\\": "\\", "l": "<", "g": ">"}
 
@@ -41,9 +41,11 @@ def unescape(text: str) -> str:
 @dataclass
 class Part:
     """kind: text, image, audio or document. ``text`` is set for text parts, ``ref`` for others; width and
-    height are pixels, seconds a length of sound, pages a document's length. None counts as 0 or empty."""
+    height are pixels, seconds a length of sound, pages a document's length. A measure that is None, negative
+    or no finite number counts as 0, a text or reference that is None as empty. A part of another kind, or
+    of none, becomes an ``other`` placeholder of no tokens, whose attachment has its reference or else its text."""
 
-    kind: str = "text"
+    kind: str | None = "text"
     text: str | None = None
     ref: str | None = None
     width: int | None = None
@@ -65,7 +67,7 @@ class Flattener:
     attachments: list[dict] = field(default_factory=list)
 
     def visit(self, part: Part) -> None:
-        getattr(self, f"visit_{part.kind}", self.visit_unknown)(part)
+        getattr(self, f"visit_{part.kind}", self.visit_other)(part)
 
     def _put(self, piece: str) -> None:
         self.body.append(piece)
@@ -77,21 +79,26 @@ class Flattener:
             self.mask.append((self.length, self.length + len(piece)))
         self._put(piece)
 
-    def _attach(self, part: Part, tokens: int) -> None:
-        self.attachments.append({"index": len(self.attachments), "kind": part.kind, "ref": part.ref or "", "tokens": tokens})
-        self._put(f"<{part.kind}:{len(self.attachments) - 1}>")
+    def _attach(self, kind: str, part: Part, tokens: int) -> None:
+        self.attachments.append({"index": len(self.attachments), "kind": kind, "ref": part.ref or "", "tokens": tokens})
+        self._put(f"<{kind}:{len(self.attachments) - 1}>")
 
     def visit_image(self, part: Part) -> None:
-        self._attach(part, math.ceil((part.width or 0) / self.image_patch) * math.ceil((part.height or 0) / self.image_patch))
+        self._attach("image", part, math.ceil(measure(part.width) / self.image_patch) * math.ceil(measure(part.height) / self.image_patch))
 
     def visit_audio(self, part: Part) -> None:
-        self._attach(part, math.ceil((part.seconds or 0) * self.audio_rate))
+        self._attach("audio", part, math.ceil(measure(part.seconds) * self.audio_rate))
 
     def visit_document(self, part: Part) -> None:
-        self._attach(part, (part.pages or 0) * self.page_tokens)
+        self._attach("document", part, math.ceil(measure(part.pages)) * self.page_tokens)
 
-    def visit_unknown(self, part: Part) -> None:
-        raise ValueError(f"unknown part kind: {part.kind!r}")
+    def visit_other(self, part: Part) -> None:
+        self._attach("other", replace(part, ref=part.ref or part.text), 0)
+
+
+def measure(x: float | None) -> float:
+    """A measure that is None, negative or no finite number counts as 0."""
+    return x if x is not None and math.isfinite(x) and x > 0 else 0
 
 
 def format_turn(role: str | None, parts: list[Part], **rates) -> dict:
@@ -141,7 +148,8 @@ def format_conversations(df: DataFrame, parts_col: str | None = None) -> DataFra
     ``df`` has conv_id, turn, role and text, or an array of part structs (fields of ``Part``) in
     ``parts_col``. A conversation's output is its rows' ``formatted`` joined in the order of turn (rows
     that repeat a turn: by ``formatted``). Rows are formatted where they lie, so no conversation is too
-    long. A null role or text is empty, a null list of parts has none; an empty table gives no rows.
+    long. A null role or text is empty, a null list of parts has none, a null part in it is left out; parts
+    of unknown kinds are told at ``Part``; an empty table gives no rows; other columns are ignored.
     """
     content = F.col(f"`{parts_col}`") if parts_col else F.col("text")
 
@@ -149,7 +157,7 @@ def format_conversations(df: DataFrame, parts_col: str | None = None) -> DataFra
         for batch in batches:
             rows = []
             for role, what in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                parts = [Part(text=what)] if not parts_col else [Part(**{k: v for k, v in p.items() if k in Part.__dataclass_fields__}) for p in what or []]
+                parts = [Part(text=what)] if not parts_col else [Part(**{k: v for k, v in p.items() if k in Part.__dataclass_fields__}) for p in what or [] if p]
                 rows.append(format_turn(role, parts))
             yield pa.record_batch(
                 [
@@ -195,6 +203,7 @@ _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_
 def digest_conversations(formatted: DataFrame) -> DataFrame:
     """What formatted conversations hold, parsed back: one row per conversation, null conv_id included.
 
+    Rows that repeat a turn are all read, by ``formatted`` and then ``loss``; a null turn is before all others; no rows give none.
     Turns stream past in order and only running digests are held, so memory doesn't grow with a
     conversation's length.
     """
@@ -215,5 +224,5 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
             done.append(now.row())
         yield pa.RecordBatch.from_pylist([dict(zip(_DIGESTS.names, r, strict=True)) for r in done], _DIGESTS)
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted", "loss")
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted", "loss").select("conv_id", "formatted", "loss")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

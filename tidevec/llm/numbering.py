@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..scratch import materialise
 
 
-def gapless_rank(df: DataFrame, class_col: str, key: Column, order: list[Column], buckets: int = 256, name: str = "rank") -> DataFrame:
+def gapless_rank(df: DataFrame, class_col: str, key: Column, order: list[Column], per_bucket: int = 250_000, name: str = "rank") -> DataFrame:
     """Add ``name``: 0, 1, 2, ... within each value of ``class_col`` (few values, any sizes).
 
-    Rows of a class are spread over ``buckets`` by a hash of ``key``; bucket counts (classes x buckets
-    rows) give each bucket its first number, and only a bucket is numbered in one place. ``df`` must be
-    a stored table, as it is read twice. Rows equal in ``key`` and ``order`` get their numbers in any order.
+    Rows of a class are spread by a hash of ``key`` over as many buckets as make about ``per_bucket`` rows
+    each; bucket counts give each bucket its first number, and only a bucket is numbered in one place.
+    ``df`` must be a stored table, as it is read three times. Rows equal in ``key`` and ``order`` get
+    their numbers in any order.
     """
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    sizes = df.groupBy(F.col(class_col).alias("_sized")).agg(F.ceil(F.count(F.lit(1)) / per_bucket).cast("int").alias("_buckets"))  # a row per class
+    spread = df.join(F.broadcast(sizes), F.col(class_col).eqNullSafe(F.col("_sized"))).withColumn("_bucket", F.pmod(F.xxhash64(key), F.col("_buckets")).cast("int")).drop("_sized", "_buckets")
     counts = spread.groupBy(class_col, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(class_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = materialise(counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).drop("_n"), "ranks")

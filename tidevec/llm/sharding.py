@@ -33,7 +33,7 @@ class SlotMap:
         return self.versions[-1]
 
     def rebalance(self, weight: dict[int, int], n_shards: int, tolerance: float = 0.0005) -> SlotMap:
-        """Append a version whose shards' weights are level within ``tolerance`` of their mean, or as level as moves and swaps make them."""
+        """Append a version whose shards' weights are level within ``tolerance`` of their mean, or as level as moves and swaps make them; none if they are."""
         shard_of = list(self.current)
         held: list[list[tuple[int, int]]] = [[] for _ in range(n_shards)]
         for slot in range(self.n_slots):
@@ -68,7 +68,7 @@ class SlotMap:
             shift = out[0] - (back[0] if back else 0)
             load[heavy] -= shift
             load[light] += shift
-        return SlotMap(self.n_slots, [*self.versions, shard_of])
+        return self if shard_of == self.current else SlotMap(self.n_slots, [*self.versions, shard_of])
 
     @staticmethod
     def _edit(heavy: list[tuple[int, int]], light: list[tuple[int, int]], gap: int):
@@ -98,12 +98,18 @@ class SlotMap:
                 share -= 1
         return SlotMap(self.n_slots, [*self.versions, shard_of])
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(v, s, k) for v, version in enumerate(self.versions) for s, k in enumerate(version)]
-        spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1).write.mode("overwrite").parquet(path)
+    def save(self, spark: SparkSession, path: str, since: int = 0) -> None:
+        """Add the versions from ``since`` on to the map stored at ``path``; stored versions stay as they are."""
+        rows = [(v, s, k) for v, version in enumerate(self.versions) for s, k in enumerate(version) if v >= since]
+        if rows:
+            spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1).write.mode("append").parquet(path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> SlotMap:
+    def load(cls, spark: SparkSession, path: str) -> SlotMap | None:
+        """The map stored at ``path``, or None."""
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+            return None
         rows = spark.read.parquet(path).orderBy("version", "slot").collect()
         found = cls(max(r.slot for r in rows) + 1)
         for r in rows:
@@ -127,30 +133,51 @@ def sized(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def shard_by_slots(df: DataFrame, n_shards: int, n_slots: int = 4096, id_col: str = "doc_id", text_col: str = "text", hot_share: int = 64, spread: int = 64, map_path: str | None = None) -> DataFrame:
+def shard_by_slots(df: DataFrame, n_shards: int, n_slots: int = 4096, id_col: str = "doc_id", text_col: str = "text", hot_share: int = 64, spread: int = 64, map_path: str | None = None, tolerance: float = 0.0005) -> DataFrame:
     """Deal all rows into ``n_shards`` shards of nearly equal bytes (law ``bytes``).
 
     Returns id, size, text_crc32, virtual_slot, map_version, shard and place (gapless from 0 within the
-    shard). A record's slot is a hash of its text, so equal texts share a slot and a shard, but for
-    texts that hold over 1/``hot_share`` of all bytes or rows: those (2 x ``hot_share`` at most) spread
-    over ``spread`` slots by id. Only the table of slots reaches the driver. The map, with all its
-    versions, is written to ``map_path``.
+    shard). A record's slot is a hash of its text, so equal texts share a slot and a shard, however many
+    they are, but for a text that alone holds more than a shard's share of all bytes: it spreads over
+    ``spread`` slots by id. Texts of over 1/``hot_share`` of all bytes (``hot_share`` at most) get slots
+    apart from each other's. Only they and the table of slots reach the driver.
+
+    A map stored at ``map_path`` is edited: where the shards' bytes are further apart than ``tolerance``
+    of their mean, slots move until they aren't, and that is its next version; more shards than it has
+    take an even share of slots first. All versions stay there. Without a stored map slots begin dealt in turn.
 
     Null ids and texts are dealt like others (a null text has size 1), repeated rows are dealt each,
     an empty table gives no rows, and other columns of ``df`` are ignored.
     """
     spark = df.sparkSession
     base = materialise(sized(df, id_col, text_col), "sized")
-    total = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    heavy = base.groupBy("_key").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    heavy = heavy.filter((F.col("_bytes") * hot_share > total["bytes"]) | (F.col("_rows") * hot_share > total["rows"])).select("_key", F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(id_col), F.lit(spread))).otherwise(F.lit(-1).cast("long"))
-    slotted = base.join(F.broadcast(heavy), "_key", "left").select(id_col, "size", "text_crc32", F.pmod(F.xxhash64("_key", salt), F.lit(n_slots)).cast("int").alias("virtual_slot"))
+    total = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
+    hot_share = max(hot_share, n_shards)
+    heavy = base.groupBy("_key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") * hot_share > total)
+    hot, own = [], {}
+    for r in heavy.orderBy(F.desc("bytes"), "_key").limit(hot_share).collect():  # fewer than hot_share can hold so much
+        if r["bytes"] * n_shards > total:
+            hot.append(r["_key"])
+        else:
+            at = r["_key"] % n_slots
+            while at in own.values():
+                at = (at + 1) % n_slots
+            own[r["_key"]] = at
+    slot = F.pmod(F.xxhash64("_key", F.when(F.col("_key").isin(hot), F.pmod(F.xxhash64(id_col), F.lit(spread))).otherwise(F.lit(-1).cast("long"))), F.lit(n_slots)).cast("int")
+    for key, at in own.items():
+        slot = F.when(F.col("_key") == key, F.lit(at)).otherwise(slot)
+    slotted = base.select(id_col, "size", "text_crc32", slot.alias("virtual_slot"))
     weight = {r.virtual_slot: r.bytes for r in slotted.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}
-    slots = SlotMap.initial(n_shards, n_slots).rebalance(weight, n_shards)
     path = map_path or place(spark, "slotmap")
-    slots.save(spark, path)
+    stored = SlotMap.load(spark, path)
+    if stored and stored.n_slots != n_slots:
+        raise ValueError(f"the stored map has {stored.n_slots} slots")
+    slots = stored or SlotMap.initial(n_shards, n_slots)
+    for shards in range(max(slots.current) + 1, n_shards):
+        slots = slots.grow(shards)
+    slots = slots.rebalance(weight, n_shards, tolerance)
+    slots.save(spark, path, len(stored.versions) if stored else 0)
     version = len(slots.versions) - 1
     current = spark.read.parquet(path).filter(F.col("version") == version).select(F.col("slot").alias("virtual_slot"), F.col("version").alias("map_version"), "shard")
-    dealt = slotted.join(F.broadcast(current), "virtual_slot")
+    dealt = slotted.join(F.broadcast(current), "virtual_slot")  # n_slots rows
     return gapless_rank(dealt, "shard", F.col(id_col), [F.col(id_col), F.col("text_crc32"), F.col("size")], name="place")
