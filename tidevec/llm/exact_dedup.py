@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
+from .skew import salted_join
 
 
 def sha256_hex(text: Column) -> Column:
@@ -48,7 +49,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         text_winners(keyed, salts).groupBy("_digest").agg(F.max("_keep").alias("keep_id"), F.sum("_size").alias("group_size"), F.count(F.lit(1)).alias("_texts")),
         "exact",
     )
-    found = keyed.select("_id", "_digest", sha256_hex(F.col("_text")).alias("text_sha256")).join(by_digest.filter("_texts = 1"), "_digest")
+    told = keyed.select("_id", "_digest", sha256_hex(F.col("_text")).alias("text_sha256"))
+    found = salted_join(told, by_digest.filter("_texts = 1"), "_digest", "group_size")
     shared = by_digest.filter("_texts > 1").select("_digest")
     if not shared.isEmpty():
         doubtful = keyed.join(shared, "_digest", "left_semi")
