@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..scratch import materialise
 
 K1, B = 1.2, 0.75
+LEAST_WORDS = 5
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -80,7 +81,7 @@ class Index:
     """items: (id, words); postings by term, in item order, in blocks with their largest impact; ``statistics`` are
     of all items, where these are a part of them."""
 
-    ids: list[int]
+    ids: list[int | None]
     texts: list[list[str]]
     splits: list[tuple[list[str], list[str]]]
     share: float = 0.6
@@ -240,7 +241,10 @@ class Index:
                 first, last = max(0, begin // step - 1, tried.get(item, 0)), (begin + len(passage) - 1) // step
                 tried[item] = max(last + 1, tried.get(item, 0))
                 for j in range(first, last + 1):
-                    share, q, a = self._verify(item, found[j * step : (j + 2) * step], overlap)
+                    window = found[j * step : (j + 2) * step]
+                    if len(self.impacts[item]) < LEAST_WORDS and found != self.texts[item]:
+                        break
+                    share, q, a = self._verify(item, window, overlap)
                     if q >= overlap and a >= overlap and (share, q, a) > out.get(item, (0.0, 0.0, 0.0, 0))[:3]:
                         out[item] = (share, q, a, j * step)
         return out
@@ -256,7 +260,7 @@ class Index:
 
 def build_index(rows: list, share: float = 0.6, statistics: Statistics | None = None) -> Index:
     """An index of (id, text) rows; items without words are left out, as nothing can match them."""
-    kept = sorted((r[0] if r[0] is not None else -1, r[1]) for r in rows if words(r[1]))
+    kept = sorted(((r[0], r[1]) for r in rows if words(r[1])), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     return Index([i for i, _ in kept], [words(t) for _, t in kept], [question_and_answer(t) for _, t in kept], share, statistics=statistics)
 
 
@@ -299,8 +303,9 @@ def indexes(items: DataFrame, id_col: str, text_col: str, share: float) -> Itera
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """A row per document and item found in it: id, item_id, score_share, question_overlap, answer_overlap, passage_start.
 
-    A null or empty text, or item, matches nothing; of items with one id each can match; a null item id
-    reads -1; repeated rows come out each; without items or documents there are no rows; other columns
+    A null or empty text, or item, matches nothing; of items with one id each can match, and one without
+    an id can, too; an item of fewer than five different words only matches a text of just its words, as
+    its words in order say nothing in a longer one; repeated rows come out each; without items or documents there are no rows; other columns
     are ignored, whatever their names. Tables of items beyond a block are matched block by block, to the same result.
     """
     picked = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))

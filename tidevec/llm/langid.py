@@ -128,7 +128,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     def loss(t: float) -> float:
         return float(-np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(y)), y], 1e-12)).mean())
 
-    a, b, g = np.log(0.05), np.log(20.0), (5**0.5 - 1) / 2
+    a, b, g = np.log(0.002), np.log(50.0), (5**0.5 - 1) / 2
     for _ in range(60):
         c, d = b - g * (b - a), a + g * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)

@@ -153,9 +153,9 @@ def entry_counts(rows: DataFrame, flush: int = 200_000) -> DataFrame:
     return rows.mapInArrow(run, _COUNTS).groupBy("entry", "whole").agg(*[F.sum(c).alias(c) for c in ("toxic_docs", "clean_docs", "toxic_hits", "clean_hits")])
 
 
-def learn(texts: DataFrame, marks: DataFrame, per_class: int = 5000, most: int = 3000, least_docs: int = 3, least_z: float = 3.0) -> Lexicon:
+def learn(texts: DataFrame, marks: DataFrame, per_class: int = 5000, least_docs: int = 3, least_z: float = 3.0) -> Lexicon:
     """``texts`` has id, text; ``marks`` id, y (0 or 1). The lexicon and its curve come from a sample of about
-    ``per_class`` rows a label, whole texts, one half each; ``most`` bounds the learnt entries."""
+    ``per_class`` rows a label, whole texts, one half each; what is learnt is bounded by the sample's words."""
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     seeds = {fold(w).strip(): SEED_WEIGHT for w in SEEDS}
     if not sizes.get(0) or not sizes.get(1):
@@ -168,7 +168,7 @@ def learn(texts: DataFrame, marks: DataFrame, per_class: int = 5000, most: int =
     a, b = F.col("toxic_docs") + 0.5, F.col("clean_docs") + 0.5
     odds = F.log(a / (toxic + 1)) - F.log(b / (clean + 1))
     scored = entry_counts(teaching).withColumn("weight", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    found = scored.filter((F.col("toxic_docs") >= least_docs) & (F.col("z") >= least_z) & (F.col("weight") >= 1.5)).orderBy(F.desc("z"), "entry", "whole").limit(most).collect()
+    found = scored.filter((F.col("toxic_docs") >= least_docs) & (F.col("z") >= least_z) & (F.col("weight") >= 1.5)).collect()  # of the sample's words
     words, beginnings = dict(seeds), {}
     for r in found:
         (words if r["whole"] else beginnings)[r["entry"]] = float(min(r["weight"], 8.0))
@@ -176,7 +176,7 @@ def learn(texts: DataFrame, marks: DataFrame, per_class: int = 5000, most: int =
         started = F.lit(False)
         for k in PREFIXES:
             started = started | F.substring("entry", 1, k).isin([p for p in beginnings if len(p) == k] or [""])
-        for r in scored.filter(F.col("whole") & started & (F.col("clean_docs") >= 5)).filter("weight < 1.5").orderBy(F.desc("clean_docs"), "entry").limit(most).collect():
+        for r in scored.filter(F.col("whole") & started & (F.col("clean_docs") >= 5)).filter("weight < 1.5").collect():
             words.setdefault(r["entry"], 0.0)
     lexicon = Lexicon(words, beginnings)
     held = lexicon
