@@ -85,7 +85,7 @@ def op8_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_set_similarity_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
