@@ -5,7 +5,7 @@ import pytest
 from tidevec.operators.oplog import BUILD, BUILD_ASYNC, BUILD_WAIT, INSERT, PAUSE, RESUME, SEARCH, run_lengths
 from tidevec.plans import schedule
 from tidevec.workload import generators
-from tidevec.workload.arrivals import Arrivals
+from tidevec.workload.arrivals import Arrivals, Stream
 
 COSTS = schedule.Costs(block=2)
 
@@ -113,12 +113,12 @@ def test_workloads_are_reproducible_and_checked():
     with pytest.raises(ValueError):
         generators.generate("z")
     with pytest.raises(ValueError):
-        Arrivals(1).single(1, "cauchy", {})
+        Arrivals(1).single(Stream(1, "cauchy", {}))
     cursor = generators.generate("d", query_source="corpus_cursor")
     assert all(o[5] is None and o[4] is not None for o in cursor if o[2] == SEARCH)
 
 
 @pytest.mark.parametrize("distribution", ["zipf", "normal", "uniform", "lognormal", "poisson"])
 def test_arrivals_rise(distribution):
-    times = Arrivals(7).single(50, distribution, {})
+    times = Arrivals(7).single(Stream(50, distribution, {}))
     assert all(b > a for a, b in zip(times, times[1:], strict=False))
