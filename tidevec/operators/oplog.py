@@ -51,6 +51,20 @@ def op_stats(ops: DataFrame, latency: str = "value", every: int = 100) -> DataFr
     )
 
 
+def command_stats(ops: DataFrame, total: str, flash: str, copy: str, printed: Column) -> DataFrame:
+    """(print, op_type, n, avg_total, avg_compute, avg_flash): statistics as each print finds them; a print resets them.
+
+    ``printed`` tells the rows that print; they count for the print after them. Compute time is what flash and copying leave of the total.
+    """
+    counted = running(ops.select("seq", "op_type", total, flash, copy, printed.alias("_printed")), ["seq"], {"upto": F.col("_printed").cast("long")})
+    return counted.groupBy(F.col("upto").alias("print"), "op_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg(total), 6).alias("avg_total"),
+        F.round(F.avg(F.col(total) - F.col(flash) - F.col(copy)), 6).alias("avg_compute"),
+        F.round(F.avg(flash), 6).alias("avg_flash"),
+    )
+
+
 def interarrival(events: DataFrame, id_col: str = "event_id") -> DataFrame:
     """(id, gap, elapsed): seconds since the row before and since the first row."""
     timed = events.select(id_col, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))

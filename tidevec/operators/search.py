@@ -92,13 +92,14 @@ def _closest(d: np.ndarray, vid: np.ndarray, first: int, k: int) -> tuple[np.nda
     return qi + first, vid[vi], d[qi, vi]
 
 
-def _block_search(vectors: DataFrame, held: Broadcast, k: int, metric: str, exclude_self: bool, group: bool, eps: float | None, by_segment: bool) -> DataFrame:
+def _block_search(vectors: DataFrame, held: Broadcast, k: int, metric: str, exclude_self: bool, group: bool, eps: float | None, by_segment: bool, early_break: bool) -> DataFrame:
     """(qid, vid, distance) of each task's k nearest for the queries in ``held``; by segment, of each segment's in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries, groups = held.value
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         best: dict = {}
+        nearest, going = np.full((len(qids), k), np.inf), np.ones(len(qids), bool)
         for batch in batches:
             if not batch.num_rows or not len(qids):
                 continue
@@ -118,6 +119,11 @@ def _block_search(vectors: DataFrame, held: Broadcast, k: int, metric: str, excl
                         d[groups[tile, None] != own[at][None, :]] = np.inf
                     if eps is not None:
                         d[d > eps] = np.inf
+                    if early_break:
+                        d[~going[tile]] = np.inf
+                        median = np.median(d, axis=1)
+                        near = np.partition(np.concatenate((nearest[tile], d), axis=1), k - 1, axis=1)[:, :k]
+                        nearest[tile], going[tile] = near, going[tile] & ~(median < near.max(axis=1))
                     now = tuple(np.concatenate(x) for x in zip(now, _closest(d, vid, first, k), strict=True))
                 best[segment] = _keep(*now, k)
         for qi, vid, d in best.values():
@@ -140,16 +146,17 @@ def for_blocks(queries: DataFrame, search: Callable[[Broadcast], DataFrame], gro
     return found
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False, group: bool = False, eps: float | None = None, most: int | None = MAX_K, by_segment: bool = False) -> DataFrame:
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False, group: bool = False, eps: float | None = None, most: int | None = MAX_K, by_segment: bool = False, early_break: bool = False) -> DataFrame:
     """(qid, rank, vid, distance): for each query (qid, qvec) its k nearest vectors (vid, vec), ties by vid.
 
     Every task multiplies its vectors with a block of queries and keeps k per query, so k rows per query
     and task are shuffled. ``group``: only vectors whose vgroup is the query's qgroup. ``eps``: only
     vectors within that distance. ``by_segment``: tasks keep k for each segment_id that they meet; the
-    result is the same. Queries without a near enough vector have no row.
+    result is the same. ``early_break``: a query is done in a task once half of a batch or segment was
+    nearer than the k-th it has; faster, and no longer exact. Queries without a near enough vector have no row.
     """
     check_k(k, most)
-    found = for_blocks(queries, lambda held: _block_search(vectors, held, k, metric, exclude_self, group, eps, by_segment), group)
+    found = for_blocks(queries, lambda held: _block_search(vectors, held, k, metric, exclude_self, group, eps, by_segment, early_break), group)
     order = Window.partitionBy("qid").orderBy("distance", "vid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "vid", "distance")
 
@@ -171,8 +178,8 @@ def pair_stats(vectors: DataFrame, group: str, metric: str = "cosine", block: in
     A group is cut into blocks of about ``block`` vectors, and each two blocks are multiplied in a task of
     their own: a row a pair of blocks comes out, so a large group takes many tasks, and no pair is a row.
     """
-    sizes = vectors.groupBy(F.col(group).alias("_group")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
-    placed = vectors.select("vid", "vec", F.col(group).alias("_group")).join(sizes, F.col("_group").eqNullSafe(sizes["_group"])).drop(sizes["_group"])
+    sizes = vectors.groupBy(F.col(group).alias("_of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    placed = vectors.select("vid", "vec", F.col(group).alias("_group")).join(sizes, F.col("_group").eqNullSafe(F.col("_of"))).drop("_of")
     mine = placed.withColumn("_own", F.pmod(F.xxhash64("vid"), F.col("_n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other")
     sent = mine.select("vid", "vec", "_group", "_own", other).select("vid", "vec", "_group", "_own", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"))

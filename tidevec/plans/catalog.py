@@ -118,6 +118,11 @@ def label_distance_stats(spark: SparkSession, sf: str) -> DataFrame:
     return near.groupBy("label").agg(F.first("n").alias("n"), dist.rounded(mean).alias("mean_distance"), dist.rounded(F.min("d")).alias("nearest"), dist.rounded(F.max("d")).alias("farthest"))
 
 
+def cosine_pairs_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Least, mean and greatest distance over each label's pairs."""
+    return search.pair_stats(vectors(spark, sf), "label")
+
+
 def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).select("vid", dist.rounded(dist.norm(F.col("vec"))).alias("norm"))
 
@@ -236,6 +241,17 @@ def store_search(spark: SparkSession, sf: str) -> DataFrame:
     return store.search(asked(v), 10, visibility="fresh")
 
 
+def store_search_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """A store whose keys change after the index is built: keys divisible by 7 get the reversed vector, those divisible by 11 are deleted. k is 5, metadata hold the label."""
+    v = vectors(spark, sf)
+    store = VectorStore(spark, place(spark, "store"), dim=DIM, cap=CAP, params=hnsw.Params(ef_search=400)).open()
+    store.put_batch(v.withColumn("seq", F.col("vid")), "seq", metadata=("label",))
+    store.build_index(wait=True)
+    store.put_batch(v.filter("vid % 7 = 0").select("vid", F.reverse("vec").alias("vec"), F.col("vid").alias("seq"), "label"), "seq", metadata=("label",))
+    store.delete(*[r[0] for r in v.filter("vid % 11 = 0").select("vid").collect()])
+    return store.search(asked(v), 5, visibility="fresh", where=F.col("meta")["label"] != "3")
+
+
 # -- logs and schedules ----------------------------------------------------------------------------
 
 
@@ -264,6 +280,12 @@ def op_stats(spark: SparkSession, sf: str) -> DataFrame:
     return oplog.op_stats(ops(spark, sf))
 
 
+def command_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals from the log, flash a quarter and copying a twentieth of each; every build prints and resets."""
+    log = ops(spark, sf).select("seq", "op_type", F.col("value").alias("total"), (F.col("value") / 4).alias("flash"), (F.col("value") / 20).alias("copy"))
+    return oplog.command_stats(log, "total", "flash", "copy", F.col("op_type") == oplog.BUILD)
+
+
 def interarrival(spark: SparkSession, sf: str) -> DataFrame:
     return oplog.interarrival(events(spark, sf)).select("event_id", F.round("gap", 6).alias("gap"), F.round("elapsed", 6).alias("elapsed"))
 
@@ -275,7 +297,19 @@ def merge_arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _workload(name: str) -> Q:
-    return lambda spark, sf: generators.operations(spark, name).groupBy("op_type").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return lambda spark, sf: generators.build_summary(generators.operations(spark, name))
+
+
+def _workload_sql(name: str) -> str:
+    """By the scenario's numbers alone."""
+    p, rule = generators.SCENARIOS[name], generators.RULES[name]
+    kept = f"({p['req']} - {int(rule.counted)})"
+    inserts = f"CAST(floor({kept} * {rule.inserts}) AS BIGINT)"
+    waited = f"CAST(ceil(({inserts if rule.inserts else kept}) * {p.get('build_trigger_ratio', rule.build_after)}) AS BIGINT)"
+    rows = [f"SELECT 'VECTOR_INSERT' AS op_type, {inserts} AS n, CAST(NULL AS BIGINT) AS before_build", f"SELECT 'VECTOR_SEARCH', {kept} - {inserts}, NULL"]
+    if rule.build_after:
+        rows.append(f"SELECT 'INDEX_BUILD', 1, {waited}")
+    return f"SELECT op_type, CAST(n AS BIGINT) AS n, before_build FROM ({' UNION ALL '.join(rows)}) WHERE n > 0"
 
 
 def result_csv_line(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,6 +321,11 @@ def bytes_to_nlb(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", scalar.bytes_to_nlb(F.octet_length("text")).alias("blocks"))
 
 
+def block_slices(spark: SparkSession, sf: str) -> DataFrame:
+    found = scalar.slice_of(F.col("doc_id"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", found[0].alias("slice"), found[1].alias("place"))
+
+
 def lcg_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return scalar.lcg_sequence(spark, 100)
 
@@ -307,6 +346,13 @@ def stream_ingest_seal(spark: SparkSession, sf: str) -> DataFrame:
     return store.segments_df().select("level", "total_entry", "min_key", "max_key")
 
 
+def stream_growing_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Growing segments of four shards kept as a stream's state: the runs that were sealed."""
+    arriving = _stream(spark, sf, "embeddings").select(F.col("vec_id").alias("vid"), F.col("embedding").alias("vec"), F.col("vec_id").alias("seq"))
+    found = ingest.drained(ingest.sealed_runs(arriving, CAP // 4, 4), "append")
+    return found.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n"), F.min("vid").alias("min_key"), F.max("vid").alias("max_key"))
+
+
 def _windows(found: DataFrame) -> DataFrame:
     return found.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n")
 
@@ -330,15 +376,15 @@ def op_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Q]:
     found = (
-        knn_exact_single, knn_exact_batch, knn_exclude_self, knn_filtered, knn_eps, knn_l2, knn_inner_product, knn_with_metadata, dim_truncate_knn, label_distance_stats, vector_norms, vector_sum_by_label, zero_norm_distance,
+        knn_exact_single, knn_exact_batch, knn_exclude_self, knn_filtered, knn_eps, knn_l2, knn_inner_product, knn_with_metadata, dim_truncate_knn, cosine_pairs_stats, label_distance_stats, vector_norms, vector_sum_by_label, zero_norm_distance,
         upsert_latest, get_latest, delete_tombstone, seal_assign, lsm_layout, compaction_merge, compaction_plan, visibility_counts, search_compacted_only, segments_needing_index, per_segment_topk_merge,
-        hnsw_build_graph, hnsw_degree_stats, hnsw_degree_histogram, hnsw_search, hybrid_search, hnsw_recall, store_search,
-        ops_from_events, tracker_state, slo_admission_summary, op_run_lengths, op_stats, interarrival, merge_arrivals, result_csv_line, bytes_to_nlb, lcg_sequence,
-        stream_ingest_seal, op_windows, stream_op_windows, op_sliding_windows, op_sessions,
+        hnsw_build_graph, hnsw_degree_stats, hnsw_degree_histogram, hnsw_search, hybrid_search, hnsw_recall, store_search, store_search_changed,
+        ops_from_events, tracker_state, slo_admission_summary, op_run_lengths, op_stats, command_stats, interarrival, merge_arrivals, result_csv_line, bytes_to_nlb, block_slices, lcg_sequence,
+        stream_ingest_seal, stream_growing_state, op_windows, stream_op_windows, op_sliding_windows, op_sessions,
     )
     named = {f.__name__: f for f in found}
     named |= {f"schedule_{p.lower().replace('-', '_')}": _schedule(p) for p in schedule.POLICIES}
-    return named | {f"workload_{'insert_only' if n == 'insertonly' else n}": _workload(n) for n in generators.WORKLOADS}
+    return named | {f"workload_{'insert_only' if n == 'insertonly' else n}": _workload(n) for n in generators.RULES}
 
 
 # -- SQL -------------------------------------------------------------------------------------------
@@ -399,8 +445,10 @@ _PUTS = "puts AS (SELECT user_id AS vid, event_id, value, event_type = 'error' A
 
 
 def oracle_sql() -> dict[str, str]:
+    workloads = {f"workload_{'insert_only' if n == 'insertonly' else n}": _workload_sql(n) for n in generators.RULES}
     added = "SELECT {0} AS place, CAST(NULL AS BIGINT) AS seq, '{1}' AS op_type"
-    return {
+    return workloads | {
+        "cosine_pairs_stats": f"WITH {_v()}, d AS (SELECT x.label, {_distance('cosine', 'x.vec', 'y.vec')} AS d FROM v x JOIN v y ON x.label = y.label AND x.vid < y.vid) SELECT label, count(*) AS pairs, round(min(d), 6) + 0.0 AS min_distance, round(avg(d), 6) + 0.0 AS avg_distance, round(max(d), 6) + 0.0 AS max_distance FROM d GROUP BY label",
         "knn_exact_single": f"WITH {_v()}, d AS (SELECT x.vid, round({_distance('cosine', 'q.vec', 'x.vec')}, 6) + 0.0 AS distance FROM v q, v x WHERE q.vid = {ONE}) SELECT CAST(row_number() OVER (ORDER BY distance, vid) AS INTEGER) AS rank, vid, distance FROM d QUALIFY rank <= 10",
         "knn_exact_batch": _knn(5),
         "knn_exclude_self": _knn(5, where="q.vid <> x.vid"),
@@ -421,6 +469,9 @@ SELECT label, count(*) AS n, CASE WHEN count(*) > 1 THEN round(1 - (list_inner_p
         "upsert_latest": f"WITH {_PUTS} SELECT vid, event_id, value FROM puts WHERE r = 1",
         "get_latest": f"WITH {_PUTS} SELECT vid, value FROM puts WHERE r = 1 AND NOT deleted AND vid IN (SELECT user_id FROM events WHERE event_type = 'view')",
         "delete_tombstone": f"WITH {_PUTS} SELECT vid FROM puts WHERE r = 1 AND NOT deleted",
+        "store_search_changed": f"""WITH {_v()}, live AS (SELECT vid, CASE WHEN vid % 7 = 0 THEN list_reverse(vec) ELSE vec END AS vec FROM v WHERE vid % 11 <> 0 AND label <> 3),
+d AS (SELECT q.vid AS qid, x.vid, round({_distance('cosine', 'q.vec', 'x.vec')}, 6) + 0.0 AS distance FROM v q, live x WHERE q.vid % 20 = 0)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, vid) AS INTEGER) AS rank, vid, distance FROM d QUALIFY rank <= 5""",
         "seal_assign": f"WITH {_v()}{_LEVELS} SELECT vid, CAST(segment_id AS BIGINT) AS segment_id, level FROM seg",
         "lsm_layout": f"WITH {_v()}{_LEVELS} SELECT level, count(*) AS entries, min(vid) AS min_key, max(vid) AS max_key FROM seg GROUP BY level, segment_id",
         "compaction_merge": f"WITH {_PUTS} SELECT vid, event_id, value FROM puts WHERE r = 1",
@@ -449,6 +500,9 @@ UNION ALL SELECT * FROM ({added.format(2, 'PAUSE_BUILD')} UNION ALL {added.forma
         "slo_admission_summary": f"WITH {_ADMITTED} SELECT op_type, admitted, count(*) AS n, min(seq) AS first_seq FROM admitted GROUP BY op_type, admitted",
         "op_run_lengths": f"WITH {_OPS}, g AS (SELECT *, seq - row_number() OVER (PARTITION BY op_type ORDER BY seq) AS run FROM ops) SELECT op_type, min(seq) AS start_seq, count(*) AS length FROM g GROUP BY op_type, run",
         "op_stats": f"WITH {_OPS}, g AS (SELECT *, row_number() OVER (PARTITION BY op_type ORDER BY seq) AS k FROM ops) SELECT op_type, count(*) AS n, round(avg(value), 6) AS avg_latency, count(*) FILTER (WHERE k % 100 = 0) AS sampled, round(avg(value) FILTER (WHERE k % 100 = 0), 6) AS avg_sampled FROM g GROUP BY op_type",
+        "command_stats": f"WITH {_OPS}, g AS (SELECT *, count(*) FILTER (WHERE op_type = 'INDEX_BUILD') OVER (ORDER BY seq) AS print FROM ops) SELECT print, op_type, count(*) AS n, round(avg(value), 6) AS avg_total, round(avg(value - value / 4 - value / 20), 6) AS avg_compute, round(avg(value / 4), 6) AS avg_flash FROM g GROUP BY print, op_type",
+        "block_slices": "SELECT doc_id, doc_id // 4 AS slice, doc_id % 4 AS place FROM documents",
+        "stream_growing_state": f"WITH n AS (SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS shard, (row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1) // {CAP // 4} AS run, (count(*) OVER (PARTITION BY vec_id % 4) - 1) // {CAP // 4} AS sealed FROM embeddings) SELECT shard, run, count(*) AS n, min(vec_id) AS min_key, max(vec_id) AS max_key FROM n WHERE run < sealed GROUP BY shard, run",
         "interarrival": "SELECT event_id, round(coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id), 0) / 1e6, 6) AS gap, round((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / 1e6, 6) AS elapsed FROM events",
         "merge_arrivals": "SELECT row_number() OVER (ORDER BY ts, event_type, event_id) AS seq, event_type AS source, event_id AS id FROM events WHERE event_type IN ('click', 'view')",
         "result_csv_line": f"SELECT qid AS row, string_agg(concat_ws(',', 'trace', CAST(qid AS VARCHAR), CAST(vid AS VARCHAR), printf('%.6f', distance)), chr(9) ORDER BY rank) AS line FROM ({_knn(5)}) GROUP BY qid",

@@ -7,7 +7,7 @@ one build; SP-P and SLO-P act on the first and drop later ones.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +34,19 @@ class Costs:
 
 def tracker_state(ops: DataFrame, block: int = 4096) -> DataFrame:
     """(seq, op_type, inserts, growing, n_indexed, n_unindexed) after each operation; a build indexes what is unindexed."""
-    counted = running(ops.select("seq", "op_type"), ["seq"], {"inserts": (F.col("op_type") == INSERT).cast("long")})
+    sums = {"inserts": (F.col("op_type") == INSERT).cast("long"), "builds": (F.col("op_type") == BUILD).cast("long")}
+    counted = running(ops.select("seq", "op_type"), ["seq"], sums)
     sealed = F.floor(F.floor(F.col("inserts") / block) / 3).cast("long")
-    builds = counted.filter(F.col("op_type") == BUILD).select(F.col("seq").alias("built_at"), sealed.alias("built"))
-    last = [(r["built_at"], r["built"]) for r in builds.orderBy("built_at").collect()]  # one build a log
-    indexed: Column = F.lit(0).cast("long")
-    for at, n in last:
-        indexed = F.when(F.col("seq") >= at, F.lit(n).cast("long")).otherwise(indexed)
-    return counted.select("seq", "op_type", "inserts", F.pmod(F.floor(F.col("inserts") / block), F.lit(3)).cast("long").alias("growing"), indexed.alias("n_indexed"), (sealed - indexed).alias("n_unindexed"))
+    built = counted.filter(F.col("op_type") == BUILD).select(F.col("builds"), sealed.alias("n_indexed"))
+    known = counted.join(built, "builds", "left")
+    indexed = F.coalesce("n_indexed", F.lit(0).cast("long"))
+    return known.select("seq", "op_type", "inserts", F.pmod(F.floor(F.col("inserts") / block), F.lit(3)).cast("long").alias("growing"), indexed.alias("n_indexed"), (sealed - indexed).alias("n_unindexed"))
+
+
+def with_built(costs: Costs, state: DataFrame) -> Costs:
+    """A copy of ``costs`` for a schedule that begins where ``tracker_state``'s log ends: its unindexed segments are built first."""
+    last = state.agg(F.max_by("n_unindexed", "seq")).first()[0]
+    return replace(costs, built_before=int(last or 0))
 
 
 def _first_build(ops: DataFrame) -> tuple[int, float] | None:
