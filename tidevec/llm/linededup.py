@@ -1,41 +1,39 @@
 """Line deduplication by an exact set-similarity join, on DataFrame operations alone.
 
 A line is the set of its words (split at white space). Words are ordered by rarity; two sets of Jaccard
-similarity ``num/den`` or more share one of their first n - ceil(n * num / den) + 1 words, so sets meet
-by those prefix words. Pairs pass a length filter, a positional filter and a bit-signature filter, and
-are verified on the words themselves. A line goes if any earlier line, in the order of (id, line
-number), is as similar as that; equal sets are one node, so copies make no pairs. Different texts with
-one id, or none, are documents of their own, in the order of a hash of their texts.
+similarity ``num/den`` or more share one of their first n - ceil(n * num / den) + 1 words,
+so sets meet by those prefix words. Pairs pass a length filter, a positional filter, a filter on bit
+signatures of their prefixes and one on the number of prefix words they share, and are verified on the words
+themselves. A line goes if any earlier line, in the order of (id, line number), is as similar as that;
+equal lines are one set, so copies make no pairs. Different texts with one id, or none, are documents
+of their own, in the order of a hash of their texts.
 
 Rarity comes from a table of word counts by hash, over the whole corpus; any table gives the same
-result, a finer one fewer candidates. Sets are routed by 64-bit hashes. Prefix words shared by more
-than ``near`` sets go another way: their sets are first compared with the earliest unresolved set,
-some rounds long, and only those that no leader removes meet every earlier set. So a large group of
-near copies costs rounds, not pairs.
+result, a finer one fewer candidates. Lines are known by two 64-bit hashes. Prefix words shared by more
+than ``near`` sets go another way: their sets are first compared with the earliest of them, and only
+those that it doesn't remove meet every earlier set. So a large group of near copies costs rows, not
+pairs.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.prefix import numbered
-from ..scratch import discard, materialise, release
+from ..scratch import discard, materialise
+from .bits import bit_table, dense, marked, ones
 
-HASH_BITS = 57
-_SPACE = "[ \\t\\x0B\\f\\r]+"
-_OTHER = "[\\t\\x0B\\f\\r]"
-_WORD = "[^ \\t\\x0B\\f\\r]"
+_OTHER = ("\t", "\x0b", "\f", "\r")
 _LINE = 1 << 31
-
-
-def parts(line: Column) -> Column:
-    """The line's words, and empty ones; the pattern is only tried where another character than a space parts them."""
-    return F.when(line.rlike(_OTHER), F.split(line, _SPACE)).otherwise(F.split(line, " "))
+_POSTING = ("s", "size", "low", "high", "last")
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(parts(line), "")
+    """The words of a line whose white space is spaces."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def documents_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,39 +55,44 @@ def documents_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(found, "documents")
 
 
+def spaced(text: Column) -> Column:
+    """The text with every white space but line feeds as spaces; the pattern is only tried on texts that have other white space."""
+    other = text.contains(_OTHER[0])
+    for c in _OTHER[1:]:
+        other = other | text.contains(c)
+    return F.when(other, F.translate(text, "".join(_OTHER), " " * len(_OTHER))).otherwise(text)
+
+
 def lines_of(documents: DataFrame) -> DataFrame:
-    """(doc, rep, line_no, line) of every line with words."""
-    lines = documents.select("doc", "rep", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.filter(F.col("line").rlike(_WORD))
+    """(doc, rep, line_no, line) of every line with words, white space as spaces."""
+    lines = documents.select("doc", "rep", spaced(F.col("text")).alias("text")).select("doc", "rep", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.filter(F.trim("line") != "")
 
 
-def rarity_table(df: DataFrame, text_col: str, bits: int) -> DataFrame:
-    """One row: for each of 2**bits hash slots, the class (0 to 63) of its count of words in the corpus, moved above a hash's bits."""
-    text = F.col(f"`{text_col}`")
-    flat = F.replace(text, F.lit("\n"), F.lit(" "))
-    counts = df.select(F.explode(parts(flat)).alias("word")).groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.range(1 << bits).withColumnRenamed("id", "slot").join(counts, "slot", "left")
-    grade = F.least(F.lit(63), F.floor(1.4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("long")
-    graded = every.select("slot", F.shiftleft(grade, HASH_BITS).alias("grade"))
-    runs = graded.groupBy(F.shiftright("slot", 10).alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "grade"))), lambda x: x["grade"]).alias("grades"))
-    return runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "grades"))), lambda x: x["grades"])).alias("grades"))
+def rarity_table(documents: DataFrame, bits: int) -> DataFrame:
+    """One row: for each of 2**bits hash slots, the class (0 to 63) of its count of words in the corpus, which ``word_keys`` finds exclusive-or'ed with the slot, above a key's hash."""
+    flat = F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" "))
+    counts = documents.select(F.explode(F.split(flat, " ")).alias("word")).groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - bits).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    grade = F.least(F.lit(63), F.floor(1.4 * F.log2(1 + F.col("n")))).cast("long")
+    classes = dense(counts.select("cell", grade.alias("value")), 1 << bits, "rarity")
+    return materialise(classes.select(F.transform("values", lambda x, slot: F.call_function("shiftleft", x.bitwiseXOR(slot.cast("long")), F.lit(64 - bits))).alias("grades")), "rarity")
 
 
 def word_keys(line: Column, grades: Column, bits: int) -> Column:
-    """The line's different words as longs, rarest first: the rarity class above the word's hash."""
+    """The line's different words as longs, rarest first: the rarity class above the lower bits of the word's hash."""
 
     def key(h: Column) -> Column:
-        grade = F.coalesce(F.get(grades, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), F.lit(0).cast("long"))
-        return grade.bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+        return F.get(grades, F.shiftrightunsigned(h, 64 - bits).cast("int")).bitwiseXOR(h)
 
-    hashes = F.array_distinct(F.transform(parts(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    loose = line.contains("  ") | line.startswith(" ") | line.endswith(" ")  # only then a word is empty
+    return F.sort_array(F.transform(F.when(loose, F.array_remove(hashes, F.xxhash64(F.lit("")))).otherwise(hashes), key))
 
 
 def order_of(doc: Column, rep: Column, line_no: Column) -> Column:
     """One number in the order of (doc, rep, line_no)."""
-    within = rep.cast("decimal(11,0)") * F.lit(_LINE).cast("decimal(11,0)") + line_no.cast("decimal(11,0)")
-    return (doc.cast("decimal(20,0)") * F.lit(_LINE * _LINE).cast("decimal(19,0)") + within).cast("decimal(38,0)")
+    within = F.shiftleft(rep.cast("long"), 31).bitwiseOR(line_no.cast("long"))
+    return (doc.cast("decimal(19,0)") * F.lit(_LINE * _LINE).cast("decimal(19,0)") + within.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def place_of(order: Column) -> list[Column]:
@@ -100,85 +103,124 @@ def place_of(order: Column) -> list[Column]:
 
 
 def signed_lines(documents: DataFrame, num: int, den: int, bits: int) -> DataFrame:
-    """A row per line with words: doc, rep, line_no, s (set hash), s2 (another), n, signature, prefix."""
-    grades = materialise(rarity_table(documents, "text", bits), "rarity")
-    release(documents.sparkSession)
-    keyed = lines_of(documents).select("*", grades.scalar().alias("grades")).select("doc", "rep", "line_no", word_keys(F.col("line"), F.col("grades"), bits).alias("keys"))
-    n = F.size("keys")
-    kept = (n - F.ceil(n * num / F.lit(den)) + 1).cast("int")
-    signature = F.aggregate("keys", F.lit(0).cast("long"), lambda bits_set, k: bits_set.bitwiseOR(_bit(k)))
-    return keyed.select("doc", "rep", "line_no", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("s2"), n.alias("n"), signature.alias("signature"), F.slice("keys", F.lit(1), kept).alias("prefix"))
+    """A row per line with words: doc, rep, line_no, s and s2 (hashes of the line), n (different words), last (the key of its
+    prefix's last word, cut to 32 bits) and prefix (31 bits of each word's hash)."""
+    grades = rarity_table(documents, bits)
+    line = F.col("line")
+    keyed = lines_of(documents).select("*", grades.scalar().alias("grades"))
+    keyed = keyed.select("doc", "rep", "line_no", F.xxhash64(line).alias("s"), F.xxhash64(F.lit(1), line).alias("s2"), word_keys(line, F.col("grades"), bits).alias("keys"))
+    kept = _prefix_size(F.size("keys"), num, den).cast("int")
+    prefix = F.transform(F.slice("keys", F.lit(1), kept), lambda k: k.bitwiseAND(ones(31)).cast("int"))
+    return keyed.select("doc", "rep", "line_no", "s", "s2", F.size("keys").alias("n"), F.shiftright(F.get("keys", kept - 1), 64 - bits - 26).alias("last"), prefix.alias("prefix"))
+
+
+def _prefix_size(n: Column, num: int, den: int) -> Column:
+    return F.call_function("div", n * (den - num), F.lit(den)) + 1
+
+
+def _signature(half: int) -> Column:
+    """The lower or upper 64 of the 128 bits that a prefix's words set."""
+
+    def put(bits: Column, word: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)))
+        return F.when(word.bitwiseAND(F.lit(64)) == 64 * half, bits.bitwiseOR(bit)).otherwise(bits)
 
+    return F.aggregate("prefix", F.lit(0).cast("long"), put)
 
-def _bit(key: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
 
+def postings_of(sets: DataFrame) -> DataFrame:
+    """(word, s, size, low, high) for each prefix word of each set. word has ``last`` in its lower half; size has n above
+    the number of words from this one on; low and high are a signature of the prefix."""
+    signed = sets.select("s", "n", "last", "prefix", _signature(0).alias("low"), _signature(1).alias("high"))
+    spread = signed.select("s", "n", "last", "low", "high", F.posexplode("prefix").alias("at", "word"))
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long"))
+    return spread.select(F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.col("last")).alias("word"), "s", size.alias("size"), "low", "high")
+
+
+def _unpacked(postings: DataFrame) -> DataFrame:
+    return postings.select(F.shiftright("word", 32).alias("word"), "s", "size", "low", "high", F.col("word").bitwiseAND(ones(32)).alias("last"))
 
-def may_match(a: dict[str, Column], b: dict[str, Column], num: int, den: int) -> Column:
-    """Length, positional and signature filters for two sets that share a word, ``left`` words before their ends.
+
+def may_match(a: str, b: str, num: int, den: int) -> Column:
+    """Length, positional and signature filters for postings ``a`` and ``b`` of one word.
 
     At the first word that two sets share, no more than the shorter rest (it included) can be common; a
-    pair that is similar passes there.
+    pair that is similar passes there. Of the prefix that ends first, a word that the other prefix lacks
+    is not in the other set.
     """
-    enough = F.ceil((a["n"] + b["n"]) * num / F.lit(num + den))  # common words needed
-    apart = F.bit_count(a["signature"].bitwiseAND(F.bitwise_not(b["signature"])))
-    other = F.bit_count(b["signature"].bitwiseAND(F.bitwise_not(a["signature"])))
-    return (F.least(a["n"], b["n"]) * den >= F.greatest(a["n"], b["n"]) * num) & (F.least(a["left"], b["left"]) >= enough) & (apart <= a["n"] - enough) & (other <= b["n"] - enough)
+    n = {x: F.shiftright(F.col(f"{x}.size"), 32) for x in (a, b)}
+    left = {x: F.col(f"{x}.size").bitwiseAND(ones(32)) for x in (a, b)}
+    both = (n[a] + n[b]) * num  # common words needed, times num + den
 
+    def fits(x: str, y: str) -> Column:
+        lacking = F.bit_count(F.col(f"{x}.low").bitwiseAND(F.bitwise_not(F.col(f"{y}.low")))) + F.bit_count(F.col(f"{x}.high").bitwiseAND(F.bitwise_not(F.col(f"{y}.high"))))
+        return (F.col(f"{x}.last") >= F.col(f"{y}.last")) | ((n[x] - lacking) * (num + den) >= both)
 
-def _side(name: str) -> dict[str, Column]:
-    """n and left share a long, to keep postings small."""
-    size = F.col(f"{name}.size")
-    return {"n": F.shiftright(size, 32), "left": size.bitwiseAND(F.lit((1 << 32) - 1)), "signature": F.col(f"{name}.signature")}
+    return (F.least(n[a], n[b]) * den >= F.greatest(n[a], n[b]) * num) & (F.least(left[a], left[b]) * (num + den) >= both) & fits(a, b) & fits(b, a)
 
 
-def wanted_lines(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, order, line, n, bits) of the ``wanted`` (s, order, doc, rep, line_no), read again from the documents and stored;
-    n words, and a signature four times as wide as the postings'.
+def met_pairs(sets: DataFrame, near: int, num: int, den: int) -> DataFrame:
+    """Sets that meet by a prefix word: (a, b) pairs that may match, of words that up to ``near`` sets share, and for
+    the others postings with b null. One shuffle of the postings serves all.
 
-    A bit table of the wanted lines keeps the others out of the shuffle.
+    The larger set has the first common word in its prefix, the smaller among the words from which on
+    2 * num / (num + den) of it are left.
     """
-    bits = 23
-    spot = F.xxhash64("doc", "rep", "line_no").bitwiseAND(F.lit((1 << bits) - 1))
-    marks = wanted.groupBy(F.shiftright(spot, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("mark"))
-    cells = documents.sparkSession.range(1 << (bits - 6)).withColumnRenamed("id", "cell").join(marks, "cell", "left")
-    runs = cells.groupBy(F.shiftright("cell", 8).alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("mark", F.lit(0).cast("long")).alias("mark")))), lambda x: x["mark"]).alias("marks"))
-    table = materialise(runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "marks"))), lambda x: x["marks"])).alias("marks")), "marks")
-    marked = F.getbit(F.get(table.scalar(), F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(F.lit(63)).cast("int")) == 1
-    found = lines_of(documents).filter(marked).join(wanted, ["doc", "rep", "line_no"]).select("s", "order", "line", F.transform(F.array_distinct(words(F.col("line"))), lambda w: F.xxhash64(w)).alias("hashes"))
+    postings = postings_of(sets)
+    # the join would ask this of its right side alone, and the sides would then have a shuffle each
+    postings = postings.filter("word IS NOT NULL AND shiftright(word, 32) IS NOT NULL AND s IS NOT NULL AND size IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL").repartition(F.shiftright("word", 32))
+    a = _unpacked(postings).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter("shared > 1").alias("a")
+    b = _unpacked(postings).alias("b")
+    larger, smaller = F.shiftright("a.size", 32), F.shiftright("b.size", 32)
+    early = F.col("b.size").bitwiseAND(ones(32)) * (num + den) >= smaller * (2 * num)
+    roles = ((smaller < larger) | ((smaller == larger) & (F.col("a.s") < F.col("b.s")))) & (early | (F.col("a.shared") < 1))  # the same, and no filter of one side
+    on = (F.col("a.word") == F.col("b.word")) & (F.col("a.shared") <= near) & roles & may_match("a", "b", num, den)
+    few = F.col("b.s").isNotNull()
+    crowded = [F.when(~few, F.col(f"a.{c}")).alias(c) for c in ("word", *_POSTING[1:])]
+    # postings of crowded words find nobody, so the outer join hands them through
+    met = a.join(b, on, "left").filter(few | (F.col("a.shared") > near))
+    return met.select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), *crowded).distinct()
 
-    def quarter(k: int) -> Column:
-        return F.aggregate(F.filter("hashes", lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(_bit(h)))
 
-    wide = F.array(*[quarter(k) for k in range(4)])
-    return materialise(found.select("s", "order", "line", F.size("hashes").alias("n"), wide.alias("bits")), "texts")
+def sharing(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose prefixes share enough words: those of the prefix that ends first, less all that its set may have alone."""
+    known = sets.select("s", F.struct("n", "last", "prefix").alias("x"))
+    both = pairs.join(known.select(F.col("s").alias("a"), F.col("x")), "a").join(known.select(F.col("s").alias("b"), F.col("x").alias("y")), "b")
+    x, y = F.col("x"), F.col("y")
+    common = F.call_function("div", (x["n"] + y["n"]) * num + (num + den - 1), F.lit(num + den))
 
+    def of(n: Column) -> Column:
+        return _prefix_size(n, num, den) - n + common
+
+    least = F.when(x["last"] < y["last"], of(x["n"])).when(y["last"] < x["last"], of(y["n"])).otherwise(1)
+    return both.filter(F.size(F.array_intersect(x["prefix"], y["prefix"])) >= least).select("a", "b").distinct()
 
-def verify(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(s, order) of the later sets of ``pairs`` (a, b: set hashes) whose lines have enough words in common.
 
-    Wide signatures settle most pairs before any line travels. A set that the earliest of its partners
-    removes needs no other, so those pairs are verified first.
+def wanted_lines(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, order, line) of the ``wanted`` (s, order, doc, rep, line_no), read again from the documents and stored.
+
+    A bit table of the wanted lines keeps most others out of the shuffle.
     """
-    about = texts.select("s", F.struct("order", "n", "bits").alias("x"))
-    x, y = F.col("x"), F.col("y")
-    both = pairs.join(about.withColumnRenamed("s", "a"), "a").join(about.select(F.col("s").alias("b"), F.col("x").alias("y")), "b")
-    enough = F.ceil((x["n"] + y["n"]) * num / F.lit(num + den))
+    spot = F.xxhash64("doc", "rep", "line_no")
+    table = bit_table(wanted.select(spot.alias("spot")), wanted.count())
+    found = lines_of(documents).filter(marked(spot, table)).join(wanted, ["doc", "rep", "line_no"])
+    return materialise(found.select("s", "order", "line"), "texts")
 
-    def apart(p: Column, q: Column) -> Column:
-        return sum((F.bit_count(p["bits"][k].bitwiseAND(F.bitwise_not(q["bits"][k]))) for k in range(1, 4)), F.bit_count(p["bits"][0].bitwiseAND(F.bitwise_not(q["bits"][0]))))
 
-    near = both.filter((apart(x, y) <= x["n"] - enough) & (apart(y, x) <= y["n"] - enough))
-    forward = x["order"] < y["order"]
-    pick = lambda p, q: F.when(forward, p).otherwise(q)
-    oriented = near.select(pick(F.col("a"), F.col("b")).alias("a"), pick(F.col("b"), F.col("a")).alias("b"), F.least(x["order"], y["order"]).alias("a_order"), F.greatest(x["order"], y["order"]).alias("b_order"))
-    oriented = materialise(oriented, "oriented")
+def verify(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(s, order) of the later sets of ``pairs`` (a, b: set hashes) whose lines have enough words in common.
+
+    A set that the earliest of its partners removes needs no other, so those pairs are verified first.
+    """
+    known = texts.select("s", "order")
+    both = pairs.join(known.select(F.col("s").alias("a"), F.col("order").alias("x")), "a").join(known.select(F.col("s").alias("b"), F.col("order").alias("y")), "b")
+    forward = F.col("x") < F.col("y")
+    pick = lambda p, q: F.when(forward, F.col(p)).otherwise(F.col(q))
+    oriented = materialise(both.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), F.least("x", "y").alias("a_order"), F.greatest("x", "y").alias("b_order")), "oriented")
     first = oriented.groupBy("b", "b_order").agg(F.min("a_order").alias("a_order"))
     gone = materialise(_alike(texts, oriented.join(first, ["b", "b_order", "a_order"]), num, den), "gone")
     left = oriented.join(first, ["b", "b_order", "a_order"], "left_anti").join(gone.select(F.col("s").alias("b"), F.col("order").alias("b_order")), ["b", "b_order"], "left_anti")
-    more = materialise(_alike(texts, left, num, den), "gone")
-    release(texts.sparkSession)
-    return gone.unionByName(more).distinct()
+    return materialise(gone.unionByName(_alike(texts, left, num, den)).distinct(), "gone")
 
 
 def _alike(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -189,69 +231,59 @@ def _alike(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter(F.size(F.array_intersect("x", "y")) * (num + den) >= (F.size("x") + F.size("y")) * num).select("s", "order").distinct()
 
 
-def met_pairs(lines: DataFrame, near: int, num: int, den: int) -> DataFrame:
-    """Sets that meet by a prefix word: (a, b) pairs that may match, of words that up to ``near`` sets share, and for
-    the others postings (a, word, size, signature) with b null. One shuffle of the postings serves all."""
-    sets = lines.groupBy("s", "n", "signature", "prefix").agg(F.count(F.lit(1)).alias("_"))
-    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long"))
-    postings = sets.select("s", "n", "signature", F.posexplode("prefix").alias("at", "word")).select("word", "s", size.alias("size"), "signature")
-    # the join would ask this of its right side alone, and the sides would then have a shuffle each
-    postings = postings.filter("word IS NOT NULL AND s IS NOT NULL AND size IS NOT NULL AND signature IS NOT NULL").repartition("word")
-    a = postings.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter("shared > 1").alias("a")
-    b = postings.alias("b")
-    on = (F.col("a.word") == F.col("b.word")) & (F.col("a.shared") <= near) & (F.col("a.s") < F.col("b.s")) & may_match(_side("a"), _side("b"), num, den)
-    few = F.col("b.s").isNotNull()
-    crowded = [F.when(~few, F.col(f"a.{c}")).alias(c) for c in ("word", "size", "signature")]
-    # postings of crowded words find nobody, so the outer join hands them through
-    met = a.join(b, on, "left").filter(few | (F.col("a.shared") > near))
-    return met.select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), *crowded).distinct()
+def different_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(s, n, last, prefix) of one line for each (s, s2). A bit table tells most lines that are there once, and only the others are shuffled."""
+    several = materialise(known.filter("lines > 1").select("s", "s2", "order"), "several")
+    again = marked(F.col("s"), bit_table(several.select("s"), several.count()))
+    picked = lines.select("s", "s2", "n", "last", "prefix", order_of(F.col("doc"), F.col("rep"), F.col("line_no")).alias("order"))
+    first = known.select("s", "s2", "order").filter(again)
+    repeated = picked.filter(again).join(first, ["s", "s2", "order"]).select("s", "s2", "n", "last", "prefix").distinct()
+    return picked.filter(~again).select("s", "n", "last", "prefix").unionByName(repeated.select("s", "n", "last", "prefix"))
 
 
-def removed_lines(documents: DataFrame, num: int = 4, den: int = 5, bits: int = 20, near: int = 256, rounds: int = 1) -> DataFrame:
-    """(doc, rep, line_no, removed) for every line with words of ``documents_of``; ``num/den`` is the least Jaccard similarity.
+def removed_lines(documents: DataFrame, num: int = 4, den: int = 5, bits: int | None = None, near: int = 256) -> DataFrame:
+    """(doc, rep, line_no) of every line of ``documents_of`` that goes; ``num/den`` is the least Jaccard similarity.
 
-    Lines without words are never removed and don't come out. A null id is ordered before all others; in
-    rows that repeat an id and its text, equal positions tie and all of them stay or go together.
+    Lines without words are never removed. A null id is ordered before all others; in rows that repeat an
+    id and its text, equal positions tie and all of them stay or go together. ``bits`` sizes the rarity
+    table: 64 slots a document if not given, between 2**12 and 2**20.
     """
-    spark = documents.sparkSession
-    lines = materialise(signed_lines(documents, num, den, bits), "lines").withColumn("order", order_of(F.col("doc"), F.col("rep"), F.col("line_no")))
-    met = materialise(met_pairs(lines, near, num, den), "met")
-    wide, lines = lines, materialise(lines.select("doc", "rep", "line_no", "s", "s2", "order"), "lines")
-    discard(wide)  # prefixes have done their work
-    release(spark)
-    sets = materialise(lines.groupBy("s", "s2").agg(F.min("order").alias("order")).select("s", "s2", "order", *place_of(F.col("order"))), "sets")
-    few, crowd = met.filter("b IS NOT NULL").select("a", "b"), met.filter("b IS NULL").select("word", F.col("a").alias("s"), "size", "signature")
+    bits = bits or min(20, max(12, ceil(log2(64 * documents.count() + 1))))
+    lines = materialise(signed_lines(documents, num, den, bits), "lines")
+    order = order_of(F.col("doc"), F.col("rep"), F.col("line_no"))
+    known = materialise(lines.groupBy("s", "s2").agg(F.min(order).alias("order"), F.count(F.lit(1)).alias("lines")), "known")
+    sets = materialise(different_lines(lines, known), "sets")
+    wide, lines = lines, materialise(lines.select("doc", "rep", "line_no", "s", "s2"), "lines")
+    discard(wide)  # prefixes are in the sets now
+    met = materialise(met_pairs(sets, near, num, den), "met")
+    few, crowd = materialise(sharing(met.filter("b IS NOT NULL").select("a", "b"), sets, num, den), "few"), met.filter("b IS NULL").select("word", F.col("a").alias("s"), *_POSTING[1:])
     named = few.select(F.col("a").alias("s")).unionByName(few.select(F.col("b").alias("s"))).unionByName(crowd.select("s")).distinct()
-    wanted = materialise(named.join(sets, "s").select("s", "order", "doc", "rep", "line_no"), "wanted")
+    wanted = materialise(known.join(named, "s", "left_semi").select("s", "order", *place_of(F.col("order"))), "wanted")
     texts = wanted_lines(documents, wanted)
-    release(spark)
-    dropped = materialise(verify(texts, few, num, den), "gone")
+    dropped = verify(texts, few, num, den)
     if not crowd.isEmpty():
         crowd = materialise(crowd.join(wanted.select("s", "order"), "s"), "crowd")
-        for done in (met, wanted):
-            discard(done)
-        release(spark)
         later = crowd.join(dropped, ["s", "order"], "left_anti")
-        for _ in range(rounds):
-            lead = later.groupBy("word").agg(F.min_by(F.struct("s", "size", "signature", "order"), "order").alias("lead")).select("word", "lead.*")
-            gone = _meet(texts, later, lead, num, den)
-            dropped = dropped.unionByName(gone)
-            later = materialise(later.join(gone, ["s", "order"], "left_anti"), "later")
-        dropped = dropped.unionByName(_meet(texts, later, crowd, num, den))
-    dropped = materialise(dropped.distinct().withColumn("gone", F.lit(True)), "dropped")
-    release(spark)
-    fate = sets.join(dropped, ["s", "order"], "left").select("s", "s2", F.col("order").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    discard(texts)
-    return lines.select("doc", "rep", "line_no", "s", "s2", "order").join(fate, ["s", "s2"]).select("doc", "rep", "line_no", (F.col("gone") | (F.col("order") > F.col("first"))).alias("removed"))
+        lead = later.groupBy("word").agg(F.min_by(F.struct(*_POSTING, "order"), "order").alias("lead")).select("word", "lead.*")
+        gone = _meet(texts, later, lead, num, den)
+        later = materialise(later.join(gone, ["s", "order"], "left_anti"), "later")
+        dropped = dropped.unionByName(gone).unionByName(_meet(texts, later, crowd, num, den)).distinct()
+    # sets that go, and those of several lines; no other set has a line to remove
+    fate = known.join(dropped.withColumn("gone", F.lit(True)), ["s", "order"], "left").filter("gone OR lines > 1")
+    fate = materialise(fate.select("s", "s2", F.col("order").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "fate")
+    table = bit_table(fate.select("s"), fate.count())
+    found = lines.select("doc", "rep", "line_no", "s", "s2", order.alias("order")).filter(marked(F.col("s"), table)).join(fate, ["s", "s2"])
+    found = materialise(found.filter("gone OR order > first").select("doc", "rep", "line_no"), "removed")
+    for done in (lines, known, sets, met, few, wanted, texts, fate):
+        discard(done)
+    return found
 
 
 def _meet(texts: DataFrame, later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
     """(s, order) of the sets in ``later`` that a set in ``earlier``, before them, removes; both are postings."""
-    near = (F.col("a.word") == F.col("b.word")) & (F.col("a.order") < F.col("b.order")) & (F.col("a.s") != F.col("b.s")) & may_match(_side("a"), _side("b"), num, den)
+    near = (F.col("a.word") == F.col("b.word")) & (F.col("a.order") < F.col("b.order")) & (F.col("a.s") != F.col("b.s")) & may_match("a", "b", num, den)
     found = earlier.alias("a").join(later.alias("b"), near).select(F.col("a.s").alias("a"), F.col("b.s").alias("b")).distinct()
-    gone = materialise(verify(texts, found, num, den), "gone")
-    release(texts.sparkSession)
-    return gone
+    return verify(texts, found, num, den)
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False, **options) -> DataFrame:
@@ -262,23 +294,28 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
     whatever their names.
     """
     documents = documents_of(df, id_col, text_col)
-    removed = removed_lines(documents, **options).filter("removed").groupBy("doc", "rep").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
-    rows = documents.select("id", "doc", "rep", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.xxhash64("text").alias("text_hash"))
+    removed = removed_lines(documents, **options).groupBy("doc", "rep").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    rows = documents.select("id", "doc", "rep", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), *([F.xxhash64("text").alias("text_hash")] if hashed else []))
     gone = F.coalesce("removed_lines", F.array().cast("array<int>"))
     return rows.join(removed, ["doc", "rep"], "left").select(F.col("id").alias(id_col), "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"), *(["text_hash"] if hashed else []))
 
 
 def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the lines that ``removed`` (of ``line_dedup``) names; all columns stay.
+    """``df`` without the lines that ``removed`` (of ``line_dedup``) names; all columns stay, whatever their names.
 
     With text_hash in ``removed`` a row is known by its id and text. Without it ids must be unique.
     """
-    keys = [F.col(id_col).alias("_id"), *([F.col("text_hash").alias("_hash")] if "text_hash" in removed.columns else [])]
-    gone = removed.filter(F.size("removed_lines") > 0).select(*keys, F.col("removed_lines").alias("_gone"))
-    on = F.col(id_col).eqNullSafe(F.col("_id"))
-    if len(keys) > 1:
-        gone, on = gone.dropDuplicates(["_id", "_hash"]), on & (F.xxhash64(text_col) == F.col("_hash"))
-    kept = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    joined = df.join(gone, on, "left")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    hashed = "text_hash" in removed.columns
+    keys = [F.col(f"`{id_col}`").alias("id"), *([F.col("text_hash")] if hashed else [])]
+    gone = removed.filter(F.size("removed_lines") > 0).select(*keys, F.col("removed_lines"))
+    if hashed:
+        gone = gone.dropDuplicates(["id", "text_hash"])
+    text = F.col(f"row.`{text_col}`")
+    on = F.col(f"row.`{id_col}`").eqNullSafe(F.col("gone.id"))
+    if hashed:
+        on = on & (F.xxhash64(text) == F.col("gone.text_hash"))
+    joined = df.select(F.struct("*").alias("row")).join(gone.select(F.struct("*").alias("gone")), on, "left")
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col("gone.removed_lines"), i))
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[left.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])
