@@ -3,61 +3,76 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
+import re
+import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset and the master is local (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="tidevec-")
-        atexit.register(_remove, _OWN[app])
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return f"file://{_OWN[app]}"
 
 
-def _remove(path: str) -> None:
-    import shutil
+def place(spark: SparkSession, label: str) -> str:
+    """A fresh path under the shared folder, in a folder of this application's own."""
+    folder = f"{shared_root(spark)}/tidevec/{spark.sparkContext.applicationId}"
+    if folder not in _MADE:
+        _MADE.add(folder)
+        atexit.register(_forget, spark, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
-    shutil.rmtree(path, ignore_errors=True)
 
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables that this application has made; results that weren't written yet go with them."""
+    _delete(spark, f"{shared_root(spark)}/tidevec/{spark.sparkContext.applicationId}")
 
-def place(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/tidevec/{label}-{uuid.uuid4().hex}"
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """At the end of the program, if its context still runs."""
+    with contextlib.suppress(Exception):
+        if not spark.sparkContext._jsc.sc().isStopped():
+            _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Spark's own setting by which a query's shuffle files go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back: later jobs neither recompute it nor depend on lost executors."""
+    """Write ``df`` once and read it back: later jobs neither recompute it nor depend on lost executors, and its shuffle files go."""
     spark = df.sparkSession
-    path = place(spark, label)
-    df.write.parquet(path)
+    path, before = place(spark, label), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of finished jobs' shuffle files now: Spark deletes them when the driver collects its garbage,
-    and what holds them is itself only let go by a first collection."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialise`` that no later job reads."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/tidevec/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, folder)
