@@ -10,7 +10,9 @@ with the fingerprints that share parts instead of with all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import discard, materialise
 from .components import components
+from .skew import salted_join
 
 TILE = 256
 _CHUNK = 1 << 15
@@ -36,19 +39,41 @@ def _ones(joined: bytes) -> np.ndarray:
     return count
 
 
+# Odd multipliers of a mixing step that makes further 64-bit hashes of one.
+_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], np.uint64)
+
+
+def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes themselves in lane 0, other hashes of them in the others."""
+    if not lane:
+        return hashes
+    x = hashes + _MIX[2] * np.uint64(lane)
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the text's word shingles, repeats included; 0 for a text without words."""
+    return wide_fingerprint(text, words_per_shingle, seed, 1)[0]
+
+
+def wide_fingerprint(text: str | None, words_per_shingle: int, seed: int, lanes: int) -> list[int]:
+    """``lanes`` 64-bit SimHashes of the text's word shingles, each by hashes of its own; zeros for a text without words."""
     joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not joined:
-        return 0
+        return [0] * lanes
     space = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.concatenate(([0], space + 1)), np.concatenate((space, [len(joined)]))
     n = max(1, len(starts) - words_per_shingle + 1)
     starts, ends = starts[:n], ends[-n:]
-    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    digest, ones = xxhash.xxh64_digest, np.zeros((lanes, 64), np.int64)
     for k in range(0, n, _CHUNK):
-        ones += _ones(b"".join([digest(joined[a:b], seed) for a, b in zip(starts[k : k + _CHUNK].tolist(), ends[k : k + _CHUNK].tolist(), strict=True)]))
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+        hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[k : k + _CHUNK].tolist(), ends[k : k + _CHUNK].tolist(), strict=True)])
+        ones[0] += _ones(hashes)
+        for lane in range(1, lanes):
+            ones[lane] += _ones(_lane(np.frombuffer(hashes, ">u8").astype(np.uint64), lane).astype(">u8").tobytes())
+    return [int.from_bytes(x.tobytes(), "big") for x in np.packbits(ones * 2 > n, axis=1)]
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -146,6 +171,142 @@ def links(distinct: DataFrame, radius: int = 3, col: str = "bits") -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _named(nodes: DataFrame, node: str, found: DataFrame) -> DataFrame:
+    """(node, n, component_id) of all ``nodes`` (node, least, n), by the links ``found``."""
+    roots = components(found)
+    rooted = nodes.join(roots, nodes[node] == roots["node"], "left").select(nodes[node].alias("node"), "least", "n", F.coalesce("root", nodes[node]).alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialise(rooted.join(smallest, "root").select(F.col("node").alias(node), "n", "component_id"), "simhash-named")
+    discard(found)
+    discard(nodes)
+    return named
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits in which SimHashes of two shingle sets of one size and this Jaccard similarity differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+@dataclass(frozen=True)
+class Bands:
+    """How fingerprints of ``lanes`` x 64 bits meet that differ in ``share`` of their bits on average.
+
+    They link at ``radius`` or fewer differing bits, which nine in ten such pairs have. They meet if they agree on all
+    ``width`` bits of a band; ``number`` bands leave ``miss`` of such pairs apart. Bands are drawn from all bits, always the same.
+    """
+
+    lanes: int
+    share: float
+    width: int
+    miss: float = 0.01
+
+    @property
+    def radius(self) -> int:
+        bits = 64 * self.lanes
+        return int(bits * self.share + 1.3 * math.sqrt(bits * self.share * (1 - self.share)))
+
+    @property
+    def number(self) -> int:
+        return math.ceil(math.log(self.miss) / math.log(1 - (1 - self.share) ** self.width))
+
+    def keys(self, prints: np.ndarray) -> Iterator[np.ndarray]:
+        """For each band, the bands' bits of fingerprints (rows of uint64)."""
+        rng = np.random.default_rng(64 * self.lanes)
+        bits = np.unpackbits(np.ascontiguousarray(prints.astype(">u8")).view(np.uint8), axis=1)
+        power = np.int64(1) << np.arange(self.width, dtype=np.int64)
+        for _ in range(self.number):
+            at = np.sort(rng.choice(64 * self.lanes, self.width, replace=False))
+            yield bits[:, at].astype(np.int64) @ power
+
+
+def wide_links(group: np.ndarray, prints: np.ndarray, radius: int, first_new: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``tile_links`` of fingerprints of several lanes."""
+    ones = np.bitwise_count(prints).sum(axis=1, dtype=np.int16)
+    n, left, right = len(prints), [], []
+    for a in range(0, n, TILE):
+        sa = slice(a, min(a + TILE, n))
+        for b in range(a, n, TILE):
+            sb = slice(b, min(b + TILE, n))
+            if group[sb.start] != group[sa.stop - 1] and b > a:
+                break
+            if sb.stop <= first_new:
+                continue
+            if group[sa.start] == group[sb.stop - 1] and ones[sb.start] - ones[sa.stop - 1] > radius:
+                break
+            i, j = np.nonzero(group[sa, None] == group[None, sb])
+            i, j = i + a, j + b
+            keep = (i < j) & (j >= first_new)
+            i, j = i[keep], j[keep]
+            near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int16) <= radius
+            left.append(i[near])
+            right.append(j[near])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
+def banded_links(nodes: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b): links between ``nodes`` (node, and a fingerprint in ``lanes`` longs), as a spanning forest of each task's finds."""
+    lanes = [f"f{k}" for k in range(bands.lanes)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(bands.lanes)], axis=1) if batch.num_rows else np.zeros((0, bands.lanes), np.uint64)
+            ones = pa.array(np.bitwise_count(prints).sum(axis=1, dtype=np.int32))
+            for band, key in enumerate(bands.keys(prints)):
+                yield pa.record_batch([pa.array(np.full(len(key), band, np.int32)), pa.array(key), ones, *batch.columns], names=["band", "key", "ones", "node", *lanes])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = np.zeros(0, np.int64)
+        held = (empty, empty, empty, np.zeros((0, bands.lanes), np.uint64))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first_new = len(held[0])
+            band, key, node = (np.concatenate((held[k], batch.column(c).to_numpy().astype(np.int64))) for k, c in enumerate((0, 1, 3)))
+            prints = np.concatenate((held[3], np.stack([batch.column(4 + k).to_numpy().view(np.uint64) for k in range(bands.lanes)], axis=1)))
+            group = np.concatenate(([0], np.cumsum((band[1:] != band[:-1]) | (key[1:] != key[:-1]))))
+            i, j = wide_links(group, prints, bands.radius, first_new)
+            if len(i):
+                label = forest(i, j, len(node))
+                found = np.flatnonzero(label != np.arange(len(node)))
+                yield pa.record_batch([pa.array(node[found]), pa.array(node[label[found]])], names=["a", "b"])
+            ones = np.bitwise_count(prints).sum(axis=1, dtype=np.int16)
+            open_group = (group == group[-1]) & (ones >= ones[-1] - bands.radius)
+            held = (band[open_group], key[open_group], node[open_group], prints[open_group])
+
+    schema = ", ".join(["band int, key long, ones int, node long", *(f"{x} long" for x in lanes)])
+    dealt = nodes.select("node", *lanes).mapInArrow(deal, schema).repartition("band", "key").sortWithinPartitions("band", "key", "ones", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, lanes: int = 4, seed: int = 42) -> DataFrame:
+    """One row per row of ``df``: id, text_hash, component_id (the smallest id that links reach), for texts of ``similarity`` or more.
+
+    At that similarity, 64-bit fingerprints differ in ten bits, too many for tiles by parts; so there are
+    ``lanes`` of them, linked at the number of bits that nine pairs in ten of that similarity don't pass, and tiles
+    are dealt by bands of bits, as wide as the number of fingerprints asks for. Of pairs at the similarity some
+    90 % link, of more similar ones more.
+
+    Texts of one fingerprint are one node. Null and empty texts share fingerprint 0; a null id is never
+    a component's id unless all its ids are null; repeated rows come out each; an empty table gives no
+    rows; other columns are ignored, whatever their names.
+    """
+    names = [f"f{k}" for k in range(lanes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([wide_fingerprint(t.as_py(), words_per_shingle, seed, lanes) for t in batch.column(2)], np.uint64).reshape(batch.num_rows, lanes).astype(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(prints[:, k]) for k in range(lanes))], names=["id", "text_hash", *names])
+
+    text = F.col(f"`{text_col}`").cast("string")
+    picked = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    marked = materialise(picked.mapInArrow(run, ", ".join(["id long, text_hash long", *(f"{x} long" for x in names)])).withColumn("node", F.xxhash64(*names)), "simhash")
+    nodes = materialise(marked.groupBy("node", *names).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    bands = Bands(lanes, differing_share(similarity), max(12, math.ceil(math.log2(nodes.count() + 1)) - 6))
+    found = materialise(banded_links(nodes, bands), "simhash-links")
+    named = _named(nodes, "node", found)
+    return salted_join(marked, named, "node", "n").select(F.col("id").alias(id_col), "text_hash", "component_id")
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of ``df``: id, bits, component_id (the smallest id that links reach).
 
@@ -154,12 +315,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     come out each; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     marked = materialise(fingerprints(df, id_col, text_col, words_per_shingle, seed), "simhash")
-    nodes = materialise(marked.groupBy("bits").agg(F.min("id").alias("least")), "simhash-nodes")
+    nodes = materialise(marked.groupBy("bits").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     found = materialise(links(nodes, radius), "simhash-links")
-    roots = components(found)
-    rooted = nodes.join(roots, nodes["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.join(smallest, "root").select("bits", "component_id"), "simhash-named")
-    discard(found)
-    discard(nodes)
-    return marked.join(named, "bits").select(F.col("id").alias(id_col), "bits", "component_id")
+    named = _named(nodes, "bits", found)
+    return salted_join(marked, named, "bits", "n").select(F.col("id").alias(id_col), "bits", "component_id")
