@@ -15,7 +15,7 @@ import corpus_pipeline
 from tests.oracle import connection, same
 from tidevec.llm import components, decontam, langid, linededup, numbering, packing, queries, simhash
 
-RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 # -- components and numbering ----------------------------------------------------------------------
 
@@ -45,7 +45,7 @@ def test_components(spark):
 
 def test_gapless_rank(spark):
     df = spark.range(500).select("id", F.when(F.col("id") < 400, 1).otherwise(F.col("id") % 3 + 5).alias("c"))
-    rows = numbering.gapless_rank(df, "c", F.col("id"), [F.col("id")], buckets=8).collect()
+    rows = numbering.gapless_rank(df, "c", F.col("id"), [F.col("id")], per_bucket=50).collect()
     by = defaultdict(list)
     for r in rows:
         by[r.c].append(r["rank"])
@@ -125,6 +125,67 @@ def test_simhash_query(spark, sf_dir):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == brute_components(rows)
 
 
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_wide_fingerprints():
+    text = " ".join(f"w{k % 700}" for k in range(40_000))
+    assert simhash.wide_fingerprint(text, 3, 42, 4)[0] == simhash.fingerprint(text) and simhash.wide_fingerprint(None, 5, 42, 4) == [0] * 4
+    assert len(set(simhash.wide_fingerprint(text, 5, 42, 4))) == 4
+
+
+def test_near_copies_are_found(spark):
+    """Texts with some words changed: nine in ten pairs of similarity 0.8 or more are in one group, and no clean text is in one."""
+    rng, words = random.Random(9), [f"w{k}" for k in range(5000)]
+    rows, pairs = [], []
+    for base in range(150):
+        text = [rng.choice(words) for _ in range(rng.randint(80, 400))]
+        copy = list(text)
+        for at in rng.sample(range(len(copy)), max(1, len(copy) // 60)):
+            copy[at] = rng.choice(words)
+        rows += [(2 * base, " ".join(text)), (2 * base + 1, " ".join(copy))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append(base)
+    rows += [(1000 + k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 300)))) for k in range(100)]
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 100 and sum(got[2 * k + 1] == 2 * k for k in pairs) >= 0.9 * len(pairs)
+    assert all(got[i] in (i, i - 1) and (i < 1000 or got[i] == i) for i in got)
+
+
+def test_bands_lose_no_links(spark):
+    """All links within the radius, against brute force."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**64, (30, 4), dtype=np.uint64)
+    prints = [c.copy() for c in centres]
+    for c in centres:
+        for _ in range(8):
+            x = c.copy()
+            for b in rng.choice(256, int(rng.integers(0, 46)), replace=False).tolist():
+                x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+            prints.append(x)
+    bands = simhash.Bands(4, simhash.differing_share(0.8), 12)
+    assert bands.radius == 46
+    want = roots([(i, j) for j in range(len(prints)) for i in range(j) if int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= 46])
+    df = spark.createDataFrame([(i, *x.astype(np.int64).tolist()) for i, x in enumerate(prints)], "node long, f0 long, f1 long, f2 long, f3 long").repartition(3)
+    links = [(r.a, r.b) for r in simhash.banded_links(df, bands).collect()]
+    got = roots(links)
+    assert set(got) <= set(want) and sum(got.get(i) == want[i] for i in want) >= 0.98 * len(want)
+
+
+def test_near_components_of_odd_rows(spark):
+    rows = [(3, None), (2, ""), (5, "a b"), (5, "a b"), (None, "a b"), (None, "alone"), (9, "a b c d e f g")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, row string")
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_components(df).collect())
+    assert got == Counter([(3, 2), (2, 2), (5, 5), (5, 5), (None, 5), (None, None), (9, 9)])
+    kept = corpus_pipeline.without_near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(2, ""), (5, "a b"), (5, "a b"), (None, "alone"), (9, "a b c d e f g")])
+    assert corpus_pipeline.without_near_copies(spark, df.limit(0), "").count() == 0
+
+
 # -- line dedup ------------------------------------------------------------------------------------
 
 
@@ -241,15 +302,31 @@ def test_many_lengths_stay_near_the_bound():
         packing.pack_lengths({9: 1}, 8)
 
 
-@pytest.mark.parametrize("text", ["", "a b", " a  b ", "a\n\nb c\t", "it's 123 ok!! <|endoftext|> z", "Äö ñ é x", "x\x1cy z", "a\n"], ids=range(8))
+TEXTS = ["", "a b", " a  b ", "a\n\nb c\t", "it's 123 ok!! we'LL z", "Äö ñ é x", "x\x1cy z", "a\n", "x <|endoftext|> y", "a  <|endoftext|>\n\n<|endoftext|>b", "<|endoftext|", "\u3000x  \u00a0y", "e\u0301 \U0001f600\U0001f600"]
+
+
+@pytest.mark.parametrize("text", TEXTS, ids=range(len(TEXTS)))
 def test_tokens(text):
-    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    assert np.frombuffer(packing.Tokens(RANKS, PATTERN).encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+    """The contract's plain call, special strings included."""
+    reference = Tokenizer.from_file(JSON)
+    tokens = packing.Tokens(JSON)
+    assert tokens.full is not None
+    assert np.frombuffer(tokens.encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_special_ids():
+    assert np.frombuffer(packing.Tokens(JSON).encode("x <|endoftext|> y"), "<u4").tolist() == [87, 220, 50256, 331]
+
+
+def test_other_files_are_read_by_their_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens = packing.Tokens(path)
+    assert tokens.full is None
+    assert np.frombuffer(tokens.encode("Hello  World"), "<u4").tolist() == Tokenizer.from_file(path).encode("Hello  World", add_special_tokens=False).ids
 
 
 def check_packing(rows, pieces):
-    reference, places, by_doc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), defaultdict(list), defaultdict(list)
+    reference, places, by_doc = Tokenizer.from_file(JSON), defaultdict(list), defaultdict(list)
     for p in pieces:
         places[p.sequence_id].append((p.offset, p.length))
         by_doc[p.doc_id].append(p)
@@ -271,12 +348,26 @@ def check_packing(rows, pieces):
     return len(places), packing.lower_bound(lengths, 1024)
 
 
+def test_the_search_beats_best_fit():
+    """Bins of a made table in which best-fit decreasing is two bins above the lower bound."""
+    rng = random.Random(5)
+    counts = Counter(rng.randint(100, 700) for _ in range(3000)) | Counter({n: 3 for n in range(1, 60)})
+    found, fit = packing.pack_lengths(dict(counts), 1024), packing.best_fit_decreasing(dict(counts), 1024)
+    assert packing.gap(found, 1024) < packing.gap(fit, 1024)
+    used = Counter()
+    for kind, m in found:
+        assert sum(n * c for n, c in kind) <= 1024
+        for n, c in kind:
+            used[n] += c * m
+    assert used == counts
+
+
 def test_pack(spark):
-    rows = [(1, "hello world"), (2, None), (3, ""), (4, "word " * 5000), (5, "a b c"), (5, "a b c"), (None, "x y")]
+    rows = [(1, "hello <|endoftext|> world"), (2, None), (3, ""), (4, "word " * 5000), (5, "a b c"), (5, "a b c"), (None, "x y")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, length int, rank int")
-    n, least = check_packing(rows, packing.pack(df, RANKS, PATTERN).collect())
+    n, least = check_packing(rows, packing.pack(df, JSON).collect())
     assert n == least
-    assert packing.pack(df.limit(0), RANKS, PATTERN).count() == 0
+    assert packing.pack(df.limit(0), JSON).count() == 0
 
 
 def test_pack_query(spark, sf_dir):
@@ -297,8 +388,9 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     gone = brute_lines(list(rows.items()))
     rows = {i: "\n".join(line for k, line in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows.items()}
     rows = {i: t for i, t in rows.items() if t.split()}
-    kept = {c for _, _, c in brute_components(list(rows.items()))}
-    rows = {i: t for i, t in rows.items() if i in kept}
+    prints = {i: np.array(simhash.wide_fingerprint(t, 5, 42, 4), np.uint64) for i, t in rows.items()}
+    root = roots([(i, j) for i in prints for j in prints if i < j and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= 46])
+    rows = {i: t for i, t in rows.items() if root.get(i, i) == i}
     items = [" ".join(decontam.words(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     rows = {i: t for i, t in rows.items() if not any(f" {x} " in f" {' '.join(decontam.words(t))} " for x in items)}
     pieces = corpus_pipeline.run(spark, sf_dir).collect()
@@ -306,6 +398,18 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     check_packing(list(rows.items()), pieces)
 
 
+def test_stages_bear_clashing_columns_and_odd_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    clashing = ["_kept", "_gone", "_id", "_hash", "gone", "row", "id", "doc", "order", "node", "f0", "least", "spot", "_text", "draw"]
+    more = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(clashing)])
+    more = more.unionByName(more.limit(3)).unionByName(more.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(more.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, more, sf_dir)
+        assert found.columns == more.columns and found.count() <= more.count(), name
+        assert stage(spark, more.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, more, sf_dir).count() >= more.count()
+
+
 def test_stages_keep_the_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
     assert len(corpus_pipeline.STAGES) == 5

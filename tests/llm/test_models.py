@@ -1,6 +1,7 @@
 """Language identification, toxicity and decontamination."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -124,10 +125,15 @@ def test_no_labels(spark):
 
 
 def test_toxicity_query(spark, sf_dir):
-    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    got = queries.op8_lexicon_toxicity(spark, sf_dir).collect()
-    assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.doc_id in truth]) >= 0.9
+    """On labelled rows that taught nothing: most toxic ones are found, and few others are."""
+    larger = sf_dir.replace("sf0.001", "sf0.1")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    got = queries.op8_lexicon_toxicity(spark, larger).collect()
+    assert len(got) == spark.read.parquet(f"{larger}/documents.parquet").count()
+    assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    unseen = [(truth[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in truth]
+    found = sum(t and p for t, p in unseen)
+    assert found >= 0.85 * sum(t for t, _ in unseen) and found >= 0.85 * sum(p for _, p in unseen)
 
 
 # -- decontamination -------------------------------------------------------------------------------
@@ -183,6 +189,13 @@ def test_contaminated(spark, monkeypatch):
     assert decontam.contaminated(docs, items.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_short_items_and_items_without_an_id(spark):
+    """Too few words to tell match a text of just these words; an item without an id keeps none."""
+    items = spark.createDataFrame([(1, "Yes"), (2, "new york"), (-1, ITEMS[0][1]), (None, ITEMS[1][1])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "I said yes to a job"), (2, "the new job is far from old york town"), (3, "New York!"), (4, f"x {ITEMS[0][1]}"), (5, f"x {ITEMS[1][1]}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()) == [(3, 2), (4, -1), (5, None)]
+
+
 def test_a_long_item_widens_no_other(spark, monkeypatch):
     rng = random.Random(9)
     short = (100, "What is the capital of France?\nAnswer: Paris")
