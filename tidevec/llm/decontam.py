@@ -242,7 +242,7 @@ class Index:
                 tried[item] = max(last + 1, tried.get(item, 0))
                 for j in range(first, last + 1):
                     window = found[j * step : (j + 2) * step]
-                    if len(self.impacts[item]) < LEAST_WORDS and found != self.texts[item]:
+                    if step < LEAST_WORDS and found != self.texts[item]:
                         break
                     share, q, a = self._verify(item, window, overlap)
                     if q >= overlap and a >= overlap and (share, q, a) > out.get(item, (0.0, 0.0, 0.0, 0))[:3]:
@@ -304,7 +304,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """A row per document and item found in it: id, item_id, score_share, question_overlap, answer_overlap, passage_start.
 
     A null or empty text, or item, matches nothing; of items with one id each can match, and one without
-    an id can, too; an item of fewer than five different words only matches a text of just its words, as
+    an id can, too; an item of fewer than five words only matches a text of just its words, as
     its words in order say nothing in a longer one; repeated rows come out each; without items or documents there are no rows; other columns
     are ignored, whatever their names. Tables of items beyond a block are matched block by block, to the same result.
     """
