@@ -40,14 +40,15 @@ def _ones(joined: bytes) -> np.ndarray:
 
 
 # Odd multipliers of a mixing step that makes further 64-bit hashes of one.
-_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], np.uint64)
+_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
     """The hashes themselves in lane 0, other hashes of them in the others."""
     if not lane:
         return hashes
-    x = hashes + _MIX[2] * np.uint64(lane)
+    x = hashes + np.uint64(_STEP * lane % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
     return x ^ (x >> np.uint64(31))
