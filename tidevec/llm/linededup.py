@@ -224,8 +224,13 @@ def verify(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _alike(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    left = texts.select(F.col("s").alias("a"), F.col("order").alias("a_order"), F.col("line").alias("a_line"))
-    right = texts.select(F.col("s").alias("b"), F.col("order").alias("b_order"), F.col("line").alias("b_line"))
+    """(s, order) of the later sets of ``pairs`` that are similar. Only lines that a bit table knows from the pairs travel."""
+    pairs = materialise(pairs.select("a", "a_order", "b", "b_order"), "alike")
+    named = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    table = bit_table(named, 2 * pairs.count())
+    needed = texts.filter(marked(F.col("s"), table))
+    left = needed.select(F.col("s").alias("a"), F.col("order").alias("a_order"), F.col("line").alias("a_line"))
+    right = needed.select(F.col("s").alias("b"), F.col("order").alias("b_order"), F.col("line").alias("b_line"))
     x, y = F.array_distinct(words(F.col("a_line"))), F.array_distinct(words(F.col("b_line")))
     both = pairs.join(left, ["a", "a_order"]).join(right, ["b", "b_order"]).select(F.col("b").alias("s"), F.col("b_order").alias("order"), x.alias("x"), y.alias("y"))
     return both.filter(F.size(F.array_intersect("x", "y")) * (num + den) >= (F.size("x") + F.size("y")) * num).select("s", "order").distinct()
