@@ -155,6 +155,35 @@ def test_near_copies_are_found(spark):
     assert all(got[i] in (i, i - 1) and (i < 1000 or got[i] == i) for i in got)
 
 
+def test_near_components_equal_brute_force(spark):
+    """Every pair of Jaccard similarity 0.8 or more links and no other, whatever its SimHashes."""
+    rng, words, rows, sets = random.Random(11), [f"w{k}" for k in range(2000)], [], []
+    for base in range(0, 1200, 2):
+        text = [rng.choice(words) for _ in range(rng.randint(60, 260))]
+        rows.append((base, " ".join(text)))
+        for _ in range(rng.randint(1, 1 + len(text) // 45)):
+            text[rng.randrange(len(text))] = "x" + rng.choice(words)
+        rows.append((base + 1, " ".join(text)))
+    tail = " ".join(rng.choice(words) for _ in range(20))
+    rows += [(2000 + k, "same " * 300 + " ".join(f"t{k}v{i}" for i in range(20)) + " " + tail) for k in range(5)]
+    for _, text in rows:
+        w = text.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    want = roots([(i, j) for j in range(len(rows)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(want) > 400 and got == {i: rows[want.get(k, k)][0] for k, (i, _) in enumerate(rows)}
+
+
+def test_prefix_pairs_of_large_groups():
+    """A group larger than a tile, cut by batches, gives each pair of different roots once."""
+    rng = np.random.default_rng(2)
+    key, root = np.repeat([1, 2, 3], [3, 700, 2]), rng.integers(0, 600, 705)
+    got = []
+    for end, first in ((400, 0), (705, 400)):
+        got += [(i, j) for a, b in simhash._crossing(key[:end], root[:end], first) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for j in range(705) for i in range(j) if key[i] == key[j] and root[i] != root[j]}
+
+
 def test_bands_lose_no_links(spark):
     """All links within the radius, against brute force."""
     rng = np.random.default_rng(3)

@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import discard, materialise
+from .bits import bit_table, marked
 from .components import components
 from .skew import salted_join
 
@@ -59,18 +62,30 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) ->
     return wide_fingerprint(text, words_per_shingle, seed, 1)[0]
 
 
-def wide_fingerprint(text: str | None, words_per_shingle: int, seed: int, lanes: int) -> list[int]:
-    """``lanes`` 64-bit SimHashes of the text's word shingles, each by hashes of its own; zeros for a text without words."""
+def shingle_hashes(text: str | None, words_per_shingle: int, seed: int) -> bytes:
+    """The 8-byte big-endian hashes of the text's word shingles, repeats included; nothing for a text without words."""
     joined = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not joined:
-        return [0] * lanes
+        return b""
     space = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.concatenate(([0], space + 1)), np.concatenate((space, [len(joined)]))
     n = max(1, len(starts) - words_per_shingle + 1)
     starts, ends = starts[:n], ends[-n:]
-    digest, ones = xxhash.xxh64_digest, np.zeros((lanes, 64), np.int64)
+    digest = xxhash.xxh64_digest
+    return b"".join(b"".join([digest(joined[a:b], seed) for a, b in zip(starts[k : k + _CHUNK].tolist(), ends[k : k + _CHUNK].tolist(), strict=True)]) for k in range(0, n, _CHUNK))
+
+
+def wide_fingerprint(text: str | None, words_per_shingle: int, seed: int, lanes: int) -> list[int]:
+    """``lanes`` 64-bit SimHashes of the text's word shingles, each by hashes of its own; zeros for a text without words."""
+    return _prints(shingle_hashes(text, words_per_shingle, seed), lanes)
+
+
+def _prints(joined: bytes, lanes: int) -> list[int]:
+    if not joined:
+        return [0] * lanes
+    n, ones = len(joined) // 8, np.zeros((lanes, 64), np.int64)
     for k in range(0, n, _CHUNK):
-        hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[k : k + _CHUNK].tolist(), ends[k : k + _CHUNK].tolist(), strict=True)])
+        hashes = joined[8 * k : 8 * (k + _CHUNK)]
         ones[0] += _ones(hashes)
         for lane in range(1, lanes):
             ones[lane] += _ones(_lane(np.frombuffer(hashes, ">u8").astype(np.uint64), lane).astype(">u8").tobytes())
@@ -279,33 +294,156 @@ def banded_links(nodes: DataFrame, bands: Bands) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def shingle_set(text: str | None, words_per_shingle: int, seed: int) -> np.ndarray:
+    """The different shingles' hashes, in order."""
+    return np.unique(np.frombuffer(shingle_hashes(text, words_per_shingle, seed), ">u8").astype(np.uint64))
+
+
+def common_shingles(texts: DataFrame, words_per_shingle: int, seed: int, sample: int = 10_000, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of shingles that three or more of about ``sample`` texts (text, text_hash) hold; the ``most`` frequent.
+
+    They only order shingles: any others give the same links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), words_per_shingle, seed) for t in batch.column(0)]
+            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], names=["key"])
+
+    every = max(1, texts.count() // sample)
+    some = texts.filter(F.pmod("text_hash", F.lit(every)) == 0).select("text")
+    counts = some.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    rows = counts.orderBy(F.desc("n"), "key").limit(most).toArrow()
+    keys = rows["key"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows["n"].to_numpy()[order]
+
+
+def prefix_of(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
+    """The first n * (den - num) // den + 1 of n shingles, common ones last: sets of Jaccard similarity num / den or more share one of them."""
+    if not len(shingles):
+        return shingles
+    keys, counts = common
+    rank = np.zeros(len(shingles), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        rank = np.where(keys[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, rank))[: len(shingles) * (den - num) // den + 1]]
+
+
+def _crossing(key: np.ndarray, root: np.ndarray, first_new: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i < j, j >= first_new) of one key and different roots; rows are ordered by key."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    for few in (True, False):
+        size = np.diff(edge)
+        lot = (size <= TILE) if few else (size > TILE)
+        if few:  # by distance, over all groups at once
+            last = np.repeat(edge[1:], size)
+            i = np.flatnonzero(np.repeat(lot & (size > 1), size))
+            step = 1
+            while len(i := i[i + step < last[i]]):
+                kept = (root[i] != root[i + step]) & (i + step >= first_new)
+                yield i[kept], i[kept] + step
+                step += 1
+            continue
+        for a, b in zip(edge[:-1][lot].tolist(), edge[1:][lot].tolist(), strict=True):
+            order = np.argsort(root[a:b], kind="stable") + a
+            cut = np.flatnonzero(np.concatenate(([True], root[order][1:] != root[order][:-1], [True]))).tolist()
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):  # a component against all after it
+                later = order[hi:]
+                for k in order[lo:hi].tolist():
+                    kept = np.maximum(later, k) >= first_new
+                    yield np.minimum(later[kept], k), np.maximum(later[kept], k)
+
+
+def prefix_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): nodes (node, root, size, prefix) of different roots that share a prefix shingle and whose sizes and places allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 5
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first_new = len(held[0])
+            held = [np.concatenate((h, batch.column(c).to_numpy().astype(np.int64))) for c, h in enumerate(held)]
+            key, node, root, size, left = held
+            for i, j in _crossing(key, root, first_new):
+                low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+                near = (low * den >= high * num) & (np.minimum(left[i], left[j]) * (num + den) >= (low + high) * num)
+                if near.any():
+                    a, b = node[i[near]], node[j[near]]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            held = [h[np.searchsorted(key, key[-1]) :] for h in held]
+
+    postings = nodes.select("node", "root", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", "root", "size", (F.col("size") - F.col("at")).alias("rest"))
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words_per_shingle: int, seed: int, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes (node, text_hash) whose texts' shingle sets have Jaccard similarity num / den or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(4096)(lambda text: shingle_set(text, words_per_shingle, seed))
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = known(x), known(y)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = common * den >= (len(x) + len(y) - common) * num
+            yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(nodes.select("node", "text_hash").join(named, "node", "left_semi"), "simhash-wanted")
+    read = texts.filter(marked(F.col("text_hash"), bit_table(wanted.select("text_hash"), wanted.count()))).join(wanted, "text_hash")
+    held = materialise(read.dropDuplicates(["text_hash"]).select("node", "text"), "simhash-texts")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    found = materialise(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "simhash-similar")
+    discard(held)
+    discard(wanted)
+    return found
+
+
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, lanes: int = 4, seed: int = 42) -> DataFrame:
     """One row per row of ``df``: id, text_hash, component_id (the smallest id that links reach), for texts of ``similarity`` or more.
 
-    At that similarity, 64-bit fingerprints differ in ten bits, too many for tiles by parts; so there are
-    ``lanes`` of them, linked at the number of bits that nine pairs in ten of that similarity don't pass, and tiles
-    are dealt by bands of bits, as wide as the number of fingerprints asks for. Of pairs at the similarity some
-    90 % link, of more similar ones more.
+    Texts link if their sets of word shingles have that Jaccard similarity, and all that do are linked. Most links come
+    from SimHashes of ``lanes`` x 64 bits that meet by bands of bits and are verified; a join of the sets by their
+    prefixes finds the others, for which only pairs that verified links leave in different components are looked at.
 
-    Texts of one fingerprint are one node. Null and empty texts share fingerprint 0; a null id is never
+    Texts of one shingle set are one node; null and empty texts have the empty set. A null id is never
     a component's id unless all its ids are null; repeated rows come out each; an empty table gives no
     rows; other columns are ignored, whatever their names.
     """
+    num, den = Fraction(str(similarity)).as_integer_ratio()
     names = [f"f{k}" for k in range(lanes)]
+    text = F.col(f"`{text_col}`").cast("string")
+    picked = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    common = df.sparkSession.sparkContext.broadcast(common_shingles(picked, words_per_shingle, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([wide_fingerprint(t.as_py(), words_per_shingle, seed, lanes) for t in batch.column(2)], np.uint64).reshape(batch.num_rows, lanes).astype(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(prints[:, k]) for k in range(lanes))], names=["id", "text_hash", *names])
-
-    text = F.col(f"`{text_col}`").cast("string")
-    picked = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    marked = materialise(picked.mapInArrow(run, ", ".join(["id long, text_hash long", *(f"{x} long" for x in names)])).withColumn("node", F.xxhash64(*names)), "simhash")
-    nodes = materialise(marked.groupBy("node", *names).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+            hashes = [shingle_hashes(t.as_py(), words_per_shingle, seed) for t in batch.column(2)]
+            prints = np.array([_prints(h, lanes) for h in hashes], np.uint64).reshape(batch.num_rows, lanes).astype(np.int64)
+            sets = [np.unique(np.frombuffer(h, ">u8").astype(np.uint64)) for h in hashes]
+            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            prefixes = [prefix_of(x, common.value, num, den).view(np.int64) for x in sets]
+            columns = [pa.array(node), *(pa.array(prints[:, k]) for k in range(lanes)), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["id", "text_hash", "node", *names, "size", "prefix"])
+
+    schema = ", ".join(["id long, text_hash long, node long", *(f"{x} long" for x in names), "size int, prefix array<long>"])
+    rows = materialise(picked.mapInArrow(run, schema), "simhash")
+    one = F.min_by(F.struct(*names, "size", "prefix", "text_hash"), "text_hash").alias("one")
+    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), one).select("node", "least", "n", "one.*"), "simhash-nodes")
     bands = Bands(lanes, differing_share(similarity), max(12, math.ceil(math.log2(nodes.count() + 1)) - 6))
-    found = materialise(banded_links(nodes, bands), "simhash-links")
+    met = materialise(banded_links(nodes, bands).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
+    sure = similar(picked, nodes, met, words_per_shingle, seed, num, den)
+    rooted = nodes.select("node", "size", "prefix").join(components(sure), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = materialise(prefix_pairs(rooted, num, den), "simhash-rest")
+    found = materialise(sure.unionByName(similar(picked, nodes, rest, words_per_shingle, seed, num, den)), "simhash-links")
+    for done in (met, rest, sure):
+        discard(done)
     named = _named(nodes, "node", found)
-    return salted_join(marked, named, "node", "n").select(F.col("id").alias(id_col), "text_hash", "component_id")
+    return salted_join(rows.select("id", "text_hash", "node"), named, "node", "n").select(F.col("id").alias(id_col), "text_hash", "component_id")
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
@@ -315,8 +453,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     0 and link like others; a null id is never a component's id unless all its ids are null; repeated rows
     come out each; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    marked = materialise(fingerprints(df, id_col, text_col, words_per_shingle, seed), "simhash")
-    nodes = materialise(marked.groupBy("bits").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    rows = materialise(fingerprints(df, id_col, text_col, words_per_shingle, seed), "simhash")
+    nodes = materialise(rows.groupBy("bits").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     found = materialise(links(nodes, radius), "simhash-links")
     named = _named(nodes, "bits", found)
-    return salted_join(marked, named, "bits", "n").select(F.col("id").alias(id_col), "bits", "component_id")
+    return salted_join(rows, named, "bits", "n").select(F.col("id").alias(id_col), "bits", "component_id")
