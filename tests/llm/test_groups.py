@@ -277,6 +277,23 @@ def test_rows_that_share_an_id_keep_their_own_lines(spark):
     assert Counter(w for w in left if w) == Counter({**dict.fromkeys(once, 1), "p q": 2, "r s": 2})
 
 
+def test_frequent_words_of_unlike_lines_make_no_crowd(spark, monkeypatch):
+    rng, crowds = random.Random(8), []
+    rows = [(d, " ".join(rng.sample([f"w{k}" for k in range(60)], 6))) for d in range(200)]
+    rows += [(200 + d, rows[d][1] + f"\n{rows[d][1]} more" + "\nthe\nthe the") for d in range(6)]
+    meet = linededup.met_pairs
+
+    def met_pairs(*args):
+        met = meet(*args)
+        crowds.append(met.filter("b IS NULL").count())
+        return met
+
+    monkeypatch.setattr(linededup, "met_pairs", met_pairs)
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), near=8, bits=12)
+    assert {r.doc_id: list(r.removed_lines) for r in got.collect()} == brute_lines(rows)
+    assert crowds[0] < 20
+
+
 def test_line_query_equals_sql(spark, sf_dir):
     name = "op10_set_similarity_line_dedup"
     same(queries.queries()[name](spark, sf_dir), connection(sf_dir), queries.oracle_sql()[name])

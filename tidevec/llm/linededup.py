@@ -9,15 +9,16 @@ equal lines are one set, so copies make no pairs. Different texts with one id, o
 of their own, in the order of a hash of their texts.
 
 Rarity comes from a table of word counts by hash, over the whole corpus; any table gives the same
-result, a finer one fewer candidates. Lines are known by two 64-bit hashes. Prefix words shared by more
-than ``near`` sets go another way: their sets are first compared with the earliest of them, and only
-those that it doesn't remove meet every earlier set. So a large group of near copies costs rows, not
-pairs.
+result, a finer one fewer candidates. Lines are known by two 64-bit hashes, sets by the order of their
+first line, a long. Words of classes above that of ``near`` meet two by two: similar sets whose first
+common word is such a word share a second one. Words and pairs of words shared by more than ``near`` sets
+go another way: their sets are first compared with the earliest of them, and only those that it doesn't
+remove meet every earlier set. So a large group of near copies costs rows, not pairs.
 """
 
 from __future__ import annotations
 
-from math import ceil, log2
+from math import ceil, floor, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,6 @@ from ..scratch import discard, materialise
 from .bits import bit_table, dense, marked, ones
 
 _OTHER = ("\t", "\x0b", "\f", "\r")
-_LINE = 1 << 31
 _POSTING = ("s", "size", "low", "high", "last")
 
 
@@ -36,23 +36,35 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def documents_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, doc, rep, text) of every row: in doc a null id is the smallest long, and rep numbers the different texts of one doc.
+def documents_of(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(id, at, text) of every row; the same with each ``at`` once; and line_bits, lower bits of ``at`` that are 0 and can hold any line number.
 
-    Only texts whose id is not theirs alone are looked up by a hash; where all ids are unique nothing is joined.
+    ``at`` numbers the different texts of all ids in the order of (id, hash of the text), a null id first; it is made of the id
+    itself where that fits. Only texts whose id is not theirs alone are looked up by a hash; where all ids are unique and fit
+    nothing is joined.
     """
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = df.select(id_.alias("id"), F.coalesce(id_.cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text"))
     shared = materialise(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc"), "shared")
-    if shared.isEmpty():
-        return rows.select("id", "doc", F.lit(0).alias("rep"), "text")
-    told = rows.withColumn("hash", F.xxhash64("text"))
-    different = materialise(told.select("doc", "hash").join(shared, "doc", "left_semi").distinct(), "different")
-    placed = numbered(different, ["doc", "hash"], "place")
-    first = placed.groupBy("doc").agg(F.min("place").alias("first"))
-    reps = placed.join(first, "doc").select("doc", "hash", (F.col("place") - F.col("first")).cast("int").alias("rep"))
-    found = told.join(reps, ["doc", "hash"], "left").select("id", "doc", F.coalesce("rep", F.lit(0)).alias("rep"), "text")
-    return materialise(found, "documents")
+    alone = shared.isEmpty()
+    if alone:
+        placed = rows.withColumn("rep", F.lit(0))
+    else:
+        told = rows.withColumn("hash", F.xxhash64("text"))
+        different = materialise(told.select("doc", "hash").join(shared, "doc", "left_semi").distinct(), "different")
+        numbers = numbered(different, ["doc", "hash"], "place")
+        first = numbers.groupBy("doc").agg(F.min("place").alias("first"))
+        reps = numbers.join(first, "doc").select("doc", "hash", (F.col("place") - F.col("first")).cast("int").alias("rep"))
+        placed = materialise(told.join(reps, ["doc", "hash"], "left").select("id", "doc", F.coalesce("rep", F.lit(0)).alias("rep"), "text"), "documents")
+    reach = placed.agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("rep").alias("rep"), F.max(F.octet_length("text")).alias("longest")).first()
+    line_bits, low, reps = (reach["longest"] or 0).bit_length() + 1, reach["low"] or 0, (reach["rep"] or 0) + 1
+    if ((reach["high"] or 0) - low + 1) * reps << line_bits < 1 << 63:
+        number = (F.col("doc") - F.lit(low)) * F.lit(reps).cast("long") + F.col("rep")
+    else:
+        numbers = materialise(numbered(placed.select("doc", "rep").distinct(), ["doc", "rep"], "number"), "numbers")
+        placed, number = materialise(placed.join(numbers, ["doc", "rep"]), "documents"), F.col("number")
+    documents = placed.select("id", F.call_function("shiftleft", number, F.lit(line_bits)).alias("at"), "text")
+    return documents, documents if alone else materialise(documents.dropDuplicates(["at"]), "documents"), line_bits
 
 
 def spaced(text: Column) -> Column:
@@ -64,9 +76,9 @@ def spaced(text: Column) -> Column:
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """(doc, rep, line_no, line) of every line with words, white space as spaces."""
-    lines = documents.select("doc", "rep", spaced(F.col("text")).alias("text")).select("doc", "rep", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.filter(F.trim("line") != "")
+    """(order, line) of every line with words, white space as spaces; order has the line's number in the lower bits of ``at``."""
+    lines = documents.select("at", spaced(F.col("text")).alias("text")).select("at", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.filter(F.trim("line") != "").select(F.col("at").bitwiseOR(F.col("line_no").cast("long")).alias("order"), "line")
 
 
 def rarity_table(documents: DataFrame, bits: int) -> DataFrame:
@@ -82,36 +94,27 @@ def word_keys(line: Column, grades: Column, bits: int) -> Column:
     """The line's different words as longs, rarest first: the rarity class above the lower bits of the word's hash."""
 
     def key(h: Column) -> Column:
-        return F.get(grades, F.shiftrightunsigned(h, 64 - bits).cast("int")).bitwiseXOR(h)
+        return F.coalesce(F.get(grades, F.shiftrightunsigned(h, 64 - bits).cast("int")), F.lit(0).cast("long")).bitwiseXOR(h)  # never null: such arrays sort faster
 
     hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
     loose = line.contains("  ") | line.startswith(" ") | line.endswith(" ")  # only then a word is empty
     return F.sort_array(F.transform(F.when(loose, F.array_remove(hashes, F.xxhash64(F.lit("")))).otherwise(hashes), key))
 
 
-def order_of(doc: Column, rep: Column, line_no: Column) -> Column:
-    """One number in the order of (doc, rep, line_no)."""
-    within = F.shiftleft(rep.cast("long"), 31).bitwiseOR(line_no.cast("long"))
-    return (doc.cast("decimal(19,0)") * F.lit(_LINE * _LINE).cast("decimal(19,0)") + within.cast("decimal(19,0)")).cast("decimal(38,0)")
+def signed_sets(lines: DataFrame, grades: DataFrame, num: int, den: int, bits: int, near: int) -> DataFrame:
+    """Of lines (order, line): order, n (different words), prefix (31 bits of each word's hash, one word more than must hold a shared
+    one), last (the key of its last word, cut to 32 bits) and rare (how many of its words, the first ones, are of classes up to that of ``near``)."""
+    keyed = lines.select("*", grades.scalar().alias("grades")).select("order", word_keys(F.col("line"), F.col("grades"), bits).alias("keys"))
+    kept = F.least(F.size("keys"), _prefix_size(F.size("keys"), num, den).cast("int") + 1)
+    cut = keyed.select("order", F.size("keys").alias("n"), F.slice("keys", F.lit(1), kept).alias("keys"))
+    rare = F.size(F.filter("keys", lambda k: k < F.lit((_grade(near) + 1) << (64 - bits))))
+    prefix = F.transform("keys", lambda k: k.bitwiseAND(ones(31)).cast("int"))
+    return cut.select("order", "n", F.shiftright(F.get("keys", F.size("keys") - 1), 64 - bits - 26).alias("last"), rare.alias("rare"), prefix.alias("prefix"))
 
 
-def place_of(order: Column) -> list[Column]:
-    """doc, rep and line_no of ``order``; division of decimals would round."""
-    within = F.pmod(order, F.lit(_LINE * _LINE).cast("decimal(38,0)")).cast("long")
-    doc = F.call_function("div", order - within.cast("decimal(38,0)"), F.lit(_LINE * _LINE).cast("decimal(38,0)"))
-    return [doc.cast("long").alias("doc"), F.shiftright(within, 31).cast("int").alias("rep"), within.bitwiseAND(F.lit(_LINE - 1)).cast("int").alias("line_no")]
-
-
-def signed_lines(documents: DataFrame, num: int, den: int, bits: int) -> DataFrame:
-    """A row per line with words: doc, rep, line_no, s and s2 (hashes of the line), n (different words), last (the key of its
-    prefix's last word, cut to 32 bits) and prefix (31 bits of each word's hash)."""
-    grades = rarity_table(documents, bits)
-    line = F.col("line")
-    keyed = lines_of(documents).select("*", grades.scalar().alias("grades"))
-    keyed = keyed.select("doc", "rep", "line_no", F.xxhash64(line).alias("s"), F.xxhash64(F.lit(1), line).alias("s2"), word_keys(line, F.col("grades"), bits).alias("keys"))
-    kept = _prefix_size(F.size("keys"), num, den).cast("int")
-    prefix = F.transform(F.slice("keys", F.lit(1), kept), lambda k: k.bitwiseAND(ones(31)).cast("int"))
-    return keyed.select("doc", "rep", "line_no", "s", "s2", F.size("keys").alias("n"), F.shiftright(F.get("keys", kept - 1), 64 - bits - 26).alias("last"), prefix.alias("prefix"))
+def _grade(n: int) -> int:
+    """The rarity class of a count."""
+    return min(63, floor(1.4 * log2(1 + n)))
 
 
 def _prefix_size(n: Column, num: int, den: int) -> Column:
@@ -128,13 +131,26 @@ def _signature(half: int) -> Column:
     return F.aggregate("prefix", F.lit(0).cast("long"), put)
 
 
-def postings_of(sets: DataFrame) -> DataFrame:
-    """(word, s, size, low, high) for each prefix word of each set. word has ``last`` in its lower half; size has n above
-    the number of words from this one on; low and high are a signature of the prefix."""
-    signed = sets.select("s", "n", "last", "prefix", _signature(0).alias("low"), _signature(1).alias("high"))
-    spread = signed.select("s", "n", "last", "low", "high", F.posexplode("prefix").alias("at", "word"))
+def postings_of(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(word, s, size, low, high): s is the set's order. word has ``last`` in its lower half; size has n above the number of words
+    from this one on; low and high are a signature of the prefix.
+
+    Sets meet by rare words one by one, by frequent ones two by two: if the first word that two similar sets share is frequent,
+    so is the second, and size is then as if the second were the first. Sets so small that one common word may do meet by all words alone too.
+    """
+    signed = sets.select("order", "n", "last", "rare", "prefix", _signature(0).alias("low"), _signature(1).alias("high"))
+    must = _prefix_size(F.col("n"), num, den).cast("int")
+    alone = F.when(F.col("n") * num <= den, must).otherwise(F.least(must, "rare"))
+    one = signed.select("order", "n", "last", "low", "high", F.posexplode(F.slice("prefix", F.lit(1), alone)).alias("at", "word"))
+    often = F.slice("prefix", F.col("rare") + 1, F.size("prefix") - F.col("rare"))
+    first = signed.filter(F.size("prefix") >= F.col("rare") + 2).select("order", "n", "last", "rare", "low", "high", often.alias("often"))
+    first = first.select("*", F.posexplode("often").alias("i", "x")).filter(F.col("rare") + F.col("i") < must)
+    after = F.slice("often", F.col("i") + 2, F.size("often"))
+    two = first.select("order", "n", "last", "low", "high", (F.col("rare") + F.col("i")).alias("i"), "x", F.posexplode(after).alias("j", "y"))
+    two = two.select("order", "n", "last", "low", "high", (F.col("i") + F.col("j")).alias("at"), F.xxhash64("x", "y").bitwiseAND(ones(31)).alias("word"))
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long"))
-    return spread.select(F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.col("last")).alias("word"), "s", size.alias("size"), "low", "high")
+    both = one.withColumn("word", F.col("word").cast("long")).unionByName(two)
+    return both.select(F.shiftleft("word", 32).bitwiseOR(F.col("last")).alias("word"), F.col("order").alias("s"), size.alias("size"), "low", "high")
 
 
 def _unpacked(postings: DataFrame) -> DataFrame:
@@ -160,13 +176,13 @@ def may_match(a: str, b: str, num: int, den: int) -> Column:
 
 
 def met_pairs(sets: DataFrame, near: int, num: int, den: int) -> DataFrame:
-    """Sets that meet by a prefix word: (a, b) pairs that may match, of words that up to ``near`` sets share, and for
-    the others postings with b null. One shuffle of the postings serves all.
+    """Sets that meet by a posting: (a, b) pairs that may match, of words (or pairs of words) that up to ``near`` sets share, and
+    for the others postings with b null. One shuffle of the postings serves all.
 
     The larger set has the first common word in its prefix, the smaller among the words from which on
     2 * num / (num + den) of it are left.
     """
-    postings = postings_of(sets)
+    postings = postings_of(sets, num, den)
     # the join would ask this of its right side alone, and the sides would then have a shuffle each
     postings = postings.filter("word IS NOT NULL AND shiftright(word, 32) IS NOT NULL AND s IS NOT NULL AND size IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL").repartition(F.shiftright("word", 32))
     a = _unpacked(postings).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter("shared > 1").alias("a")
@@ -183,112 +199,100 @@ def met_pairs(sets: DataFrame, near: int, num: int, den: int) -> DataFrame:
 
 
 def sharing(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose prefixes share enough words: those of the prefix that ends first, less all that its set may have alone."""
-    known = sets.select("s", F.struct("n", "last", "prefix").alias("x"))
-    both = pairs.join(known.select(F.col("s").alias("a"), F.col("x")), "a").join(known.select(F.col("s").alias("b"), F.col("x").alias("y")), "b")
+    """The ``pairs`` (a, b) whose prefixes share enough words: those of the prefix that ends first, less all that its set may have alone; a is before b."""
+    known = sets.select("order", F.struct("n", "last", "prefix").alias("x"))
+    both = pairs.join(known.select(F.col("order").alias("a"), F.col("x")), "a").join(known.select(F.col("order").alias("b"), F.col("x").alias("y")), "b")
     x, y = F.col("x"), F.col("y")
     common = F.call_function("div", (x["n"] + y["n"]) * num + (num + den - 1), F.lit(num + den))
 
-    def of(n: Column) -> Column:
-        return _prefix_size(n, num, den) - n + common
+    def of(z: Column) -> Column:
+        return F.size(z["prefix"]) - z["n"] + common
 
-    least = F.when(x["last"] < y["last"], of(x["n"])).when(y["last"] < x["last"], of(y["n"])).otherwise(1)
-    return both.filter(F.size(F.array_intersect(x["prefix"], y["prefix"])) >= least).select("a", "b").distinct()
+    least = F.when(x["last"] < y["last"], of(x)).when(y["last"] < x["last"], of(y)).otherwise(1)
+    shared = both.filter(F.size(F.array_intersect(x["prefix"], y["prefix"])) >= least)
+    return shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def wanted_lines(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, order, line) of the ``wanted`` (s, order, doc, rep, line_no), read again from the documents and stored.
+    """(order, line) of the ``wanted`` (order), read again from the documents and stored.
 
     A bit table of the wanted lines keeps most others out of the shuffle.
     """
-    spot = F.xxhash64("doc", "rep", "line_no")
-    table = bit_table(wanted.select(spot.alias("spot")), wanted.count())
-    found = lines_of(documents).filter(marked(spot, table)).join(wanted, ["doc", "rep", "line_no"])
-    return materialise(found.select("s", "order", "line"), "texts")
+    table = bit_table(wanted.select(F.xxhash64("order").alias("spot")), wanted.count())
+    found = lines_of(documents).filter(marked(F.xxhash64("order"), table)).join(wanted, "order", "left_semi")
+    return materialise(found, "texts")
 
 
 def verify(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(s, order) of the later sets of ``pairs`` (a, b: set hashes) whose lines have enough words in common.
+    """(order) of the later sets of ``pairs`` (a, b: orders, a before b) whose lines have enough words in common.
 
     A set that the earliest of its partners removes needs no other, so those pairs are verified first.
     """
-    known = texts.select("s", "order")
-    both = pairs.join(known.select(F.col("s").alias("a"), F.col("order").alias("x")), "a").join(known.select(F.col("s").alias("b"), F.col("order").alias("y")), "b")
-    forward = F.col("x") < F.col("y")
-    pick = lambda p, q: F.when(forward, F.col(p)).otherwise(F.col(q))
-    oriented = materialise(both.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), F.least("x", "y").alias("a_order"), F.greatest("x", "y").alias("b_order")), "oriented")
-    first = oriented.groupBy("b", "b_order").agg(F.min("a_order").alias("a_order"))
-    gone = materialise(_alike(texts, oriented.join(first, ["b", "b_order", "a_order"]), num, den), "gone")
-    left = oriented.join(first, ["b", "b_order", "a_order"], "left_anti").join(gone.select(F.col("s").alias("b"), F.col("order").alias("b_order")), ["b", "b_order"], "left_anti")
-    return materialise(gone.unionByName(_alike(texts, left, num, den)).distinct(), "gone")
+    first = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    gone = materialise(_alike(texts, first, num, den), "gone")
+    left = pairs.join(first, ["a", "b"], "left_anti").join(gone.select(F.col("order").alias("b")), "b", "left_anti")
+    return materialise(gone.unionByName(_alike(texts, materialise(left.select("a", "b"), "left"), num, den)), "gone")
 
 
 def _alike(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(s, order) of the later sets of ``pairs`` that are similar. Only lines that a bit table knows from the pairs travel."""
-    pairs = materialise(pairs.select("a", "a_order", "b", "b_order"), "alike")
-    named = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    """(order) of the later sets of stored ``pairs`` that are similar. Only lines that a bit table knows from the pairs travel."""
+    named = pairs.select(F.xxhash64("a").alias("spot")).unionByName(pairs.select(F.xxhash64("b").alias("spot"))).distinct()
     table = bit_table(named, 2 * pairs.count())
-    needed = texts.filter(marked(F.col("s"), table))
-    left = needed.select(F.col("s").alias("a"), F.col("order").alias("a_order"), F.col("line").alias("a_line"))
-    right = needed.select(F.col("s").alias("b"), F.col("order").alias("b_order"), F.col("line").alias("b_line"))
+    needed = texts.filter(marked(F.xxhash64("order"), table))
+    left, right = needed.select(F.col("order").alias("a"), F.col("line").alias("a_line")), needed.select(F.col("order").alias("b"), F.col("line").alias("b_line"))
     x, y = F.array_distinct(words(F.col("a_line"))), F.array_distinct(words(F.col("b_line")))
-    both = pairs.join(left, ["a", "a_order"]).join(right, ["b", "b_order"]).select(F.col("b").alias("s"), F.col("b_order").alias("order"), x.alias("x"), y.alias("y"))
-    return both.filter(F.size(F.array_intersect("x", "y")) * (num + den) >= (F.size("x") + F.size("y")) * num).select("s", "order").distinct()
+    both = pairs.join(left, "a").join(right, "b").select(F.col("b").alias("order"), x.alias("x"), y.alias("y"))
+    return both.filter(F.size(F.array_intersect("x", "y")) * (num + den) >= (F.size("x") + F.size("y")) * num).select("order").distinct()
 
 
-def different_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """(s, n, last, prefix) of one line for each (s, s2). A bit table tells most lines that are there once, and only the others are shuffled."""
-    several = materialise(known.filter("lines > 1").select("s", "s2", "order"), "several")
-    again = marked(F.col("s"), bit_table(several.select("s"), several.count()))
-    picked = lines.select("s", "s2", "n", "last", "prefix", order_of(F.col("doc"), F.col("rep"), F.col("line_no")).alias("order"))
-    first = known.select("s", "s2", "order").filter(again)
-    repeated = picked.filter(again).join(first, ["s", "s2", "order"]).select("s", "s2", "n", "last", "prefix").distinct()
-    return picked.filter(~again).select("s", "n", "last", "prefix").unionByName(repeated.select("s", "n", "last", "prefix"))
+def different_lines(documents: DataFrame, again: tuple[DataFrame, int], first: DataFrame) -> DataFrame:
+    """(order, line) of the first line of each set; ``again`` is a bit table of s of sets of more lines, ``first`` (order) are the
+    first lines of the sets that it knows. A bit table tells most other lines that it knows, and only what is left is shuffled."""
+    lines = lines_of(documents)
+    known = marked(F.xxhash64("line"), again)
+    spot = F.xxhash64("order")
+    doubtful = lines.filter(known & marked(spot, bit_table(first.select(spot.alias("spot")), first.count())))
+    return lines.filter(~known).unionByName(doubtful.join(first, "order", "left_semi"))
 
 
 def removed_lines(documents: DataFrame, num: int = 4, den: int = 5, bits: int | None = None, near: int = 256) -> DataFrame:
-    """(doc, rep, line_no) of every line of ``documents_of`` that goes; ``num/den`` is the least Jaccard similarity.
+    """(order) of every line of ``documents`` (at, text; each ``at`` once) that goes; ``num/den`` is the least Jaccard similarity.
 
-    Lines without words are never removed. A null id is ordered before all others; in rows that repeat an
-    id and its text, equal positions tie and all of them stay or go together. ``bits`` sizes the rarity
-    table: 64 slots a document if not given, between 2**12 and 2**20.
+    Lines without words are never removed. ``bits`` sizes the rarity table: 64 slots a document if not given, between 2**12 and 2**20.
     """
     bits = bits or min(20, max(12, ceil(log2(64 * documents.count() + 1))))
-    lines = materialise(signed_lines(documents, num, den, bits), "lines")
-    order = order_of(F.col("doc"), F.col("rep"), F.col("line_no"))
-    known = materialise(lines.groupBy("s", "s2").agg(F.min(order).alias("order"), F.count(F.lit(1)).alias("lines")), "known")
-    sets = materialise(different_lines(lines, known), "sets")
-    wide, lines = lines, materialise(lines.select("doc", "rep", "line_no", "s", "s2"), "lines")
-    discard(wide)  # prefixes are in the sets now
+    lines = materialise(lines_of(documents).select("order", F.xxhash64("line").alias("s"), F.xxhash64(F.lit(1), "line").alias("s2")), "lines")
+    known = materialise(lines.groupBy("s", "s2").agg(F.min("order").alias("order"), F.count(F.lit(1)).alias("lines")), "known")
+    several = materialise(known.filter("lines > 1").select("s", "s2", "order"), "several")
+    again = bit_table(several.select("s"), several.count())
+    first = materialise(known.filter(marked(F.col("s"), again)).select("order"), "first-lines")
+    copies = lines.filter(marked(F.col("s"), again)).join(several.withColumnRenamed("order", "first"), ["s", "s2"]).filter("order > first").select("order")
+    copies = materialise(copies, "copies")
+    discard(lines)
+    discard(known)
+    sets = materialise(signed_sets(different_lines(documents, again, first), rarity_table(documents, bits), num, den, bits, near), "sets")
     met = materialise(met_pairs(sets, near, num, den), "met")
     few, crowd = materialise(sharing(met.filter("b IS NOT NULL").select("a", "b"), sets, num, den), "few"), met.filter("b IS NULL").select("word", F.col("a").alias("s"), *_POSTING[1:])
-    named = few.select(F.col("a").alias("s")).unionByName(few.select(F.col("b").alias("s"))).unionByName(crowd.select("s")).distinct()
-    wanted = materialise(known.join(named, "s", "left_semi").select("s", "order", *place_of(F.col("order"))), "wanted")
+    wanted = materialise(few.select(F.col("a").alias("order")).union(few.select("b")).union(crowd.select("s")).distinct(), "wanted")
     texts = wanted_lines(documents, wanted)
     dropped = verify(texts, few, num, den)
     if not crowd.isEmpty():
-        crowd = materialise(crowd.join(wanted.select("s", "order"), "s"), "crowd")
-        later = crowd.join(dropped, ["s", "order"], "left_anti")
-        lead = later.groupBy("word").agg(F.min_by(F.struct(*_POSTING, "order"), "order").alias("lead")).select("word", "lead.*")
+        later = crowd.join(dropped.withColumnRenamed("order", "s"), "s", "left_anti")
+        lead = later.groupBy("word").agg(F.min_by(F.struct(*_POSTING), "s").alias("lead")).select("word", "lead.*")
         gone = _meet(texts, later, lead, num, den)
-        later = materialise(later.join(gone, ["s", "order"], "left_anti"), "later")
+        later = materialise(later.join(gone.withColumnRenamed("order", "s"), "s", "left_anti"), "later")
         dropped = dropped.unionByName(gone).unionByName(_meet(texts, later, crowd, num, den)).distinct()
-    # sets that go, and those of several lines; no other set has a line to remove
-    fate = known.join(dropped.withColumn("gone", F.lit(True)), ["s", "order"], "left").filter("gone OR lines > 1")
-    fate = materialise(fate.select("s", "s2", F.col("order").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "fate")
-    table = bit_table(fate.select("s"), fate.count())
-    found = lines.select("doc", "rep", "line_no", "s", "s2", order.alias("order")).filter(marked(F.col("s"), table)).join(fate, ["s", "s2"])
-    found = materialise(found.filter("gone OR order > first").select("doc", "rep", "line_no"), "removed")
-    for done in (lines, known, sets, met, few, wanted, texts, fate):
+    found = materialise(copies.unionByName(dropped), "removed")
+    for done in (copies, several, first, sets, met, few, wanted, texts):
         discard(done)
     return found
 
 
 def _meet(texts: DataFrame, later: DataFrame, earlier: DataFrame, num: int, den: int) -> DataFrame:
-    """(s, order) of the sets in ``later`` that a set in ``earlier``, before them, removes; both are postings."""
-    near = (F.col("a.word") == F.col("b.word")) & (F.col("a.order") < F.col("b.order")) & (F.col("a.s") != F.col("b.s")) & may_match("a", "b", num, den)
+    """(order) of the sets in ``later`` that a set in ``earlier``, before them, removes; both are postings."""
+    near = (F.col("a.word") == F.col("b.word")) & (F.col("a.s") < F.col("b.s")) & may_match("a", "b", num, den)
     found = earlier.alias("a").join(later.alias("b"), near).select(F.col("a.s").alias("a"), F.col("b.s").alias("b")).distinct()
-    return verify(texts, found, num, den)
+    return verify(texts, materialise(found, "found"), num, den)
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False, **options) -> DataFrame:
@@ -298,12 +302,14 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
     an id are decided each by its own text; an empty table gives no rows; other columns are ignored,
     whatever their names.
     """
-    documents = documents_of(df, id_col, text_col)
-    removed = removed_lines(documents, **options).groupBy("doc", "rep").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
+    documents, different, line_bits = documents_of(df, id_col, text_col)
+    line_no = F.col("order").bitwiseAND(ones(line_bits))
+    removed = removed_lines(different, **options).select(F.col("order").bitwiseXOR(line_no).alias("at"), line_no.cast("int").alias("line_no"))
+    removed = removed.groupBy("at").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
     breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
-    rows = documents.select("id", "doc", "rep", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), *([F.xxhash64("text").alias("text_hash")] if hashed else []))
+    rows = documents.select("id", "at", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), *([F.xxhash64("text").alias("text_hash")] if hashed else []))
     gone = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return rows.join(removed, ["doc", "rep"], "left").select(F.col("id").alias(id_col), "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"), *(["text_hash"] if hashed else []))
+    return rows.join(removed, "at", "left").select(F.col("id").alias(id_col), "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"), *(["text_hash"] if hashed else []))
 
 
 def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
