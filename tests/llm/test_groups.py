@@ -294,6 +294,30 @@ def test_frequent_words_of_unlike_lines_make_no_crowd(spark, monkeypatch):
     assert crowds[0] < 20
 
 
+def test_lines_meet_in_rounds(spark, monkeypatch):
+    rows, shares = [r for r in line_rows() if len(r[1] or "") < 1000], []
+    monkeypatch.setattr(linededup, "rounds_of", lambda *args: 3)
+    posted = linededup.postings_of
+
+    def postings_of(sets, num, den, share, rounds):
+        shares.append((share, posted(sets, num, den, share, rounds).count(), posted(sets, num, den).count()))
+        return posted(sets, num, den, share, rounds)
+
+    monkeypatch.setattr(linededup, "postings_of", postings_of)
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), near=4, bits=10)
+    assert {r.doc_id: list(r.removed_lines) for r in got.collect()} == brute_lines(rows)
+    assert [s for s, _, _ in shares] == [0, 1, 2]
+    assert sum(n for _, n, _ in shares) == shares[0][2] and max(n for _, n, _ in shares) < shares[0][2] / 2
+
+
+def test_rounds_follow_the_postings(spark):
+    sets = [(k, 20, 3, list(range(6))) for k in range(10)]  # each: words 0 to 2 alone, words 3 to 5 two by two
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in sets], "order long, n int, rare int, prefix array<int>, last long, low long, high long")
+    assert linededup.postings_of(df, 4, 5).count() == 60
+    assert [linededup.rounds_of(df, 4, 5, each, 1) for each in (1, 2, 4, 6)] == [6, 3, 2, 1]
+    assert linededup.rounds_of(df, 4, 5) == linededup.rounds_of(df.limit(0), 4, 5) == 1
+
+
 def test_line_query_equals_sql(spark, sf_dir):
     name = "op10_set_similarity_line_dedup"
     same(queries.queries()[name](spark, sf_dir), connection(sf_dir), queries.oracle_sql()[name])

@@ -14,10 +14,14 @@ first line, a long. Words of classes above that of ``near`` meet two by two: sim
 common word is such a word share a second one. Words and pairs of words shared by more than ``near`` sets
 go another way: their sets are first compared with the earliest of them, and only those that it doesn't
 remove meet every earlier set. So a large group of near copies costs rows, not pairs.
+
+Sets meet in rounds, each of a share of the words, whose postings are the only ones on disk meanwhile. Their number
+follows the postings a set, which grow with the corpus as more of its words become frequent.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, floor, log2
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,13 +107,15 @@ def word_keys(line: Column, grades: Column, bits: int) -> Column:
 
 def signed_sets(lines: DataFrame, grades: DataFrame, num: int, den: int, bits: int, near: int) -> DataFrame:
     """Of lines (order, line): order, n (different words), prefix (31 bits of each word's hash, one word more than must hold a shared
-    one), last (the key of its last word, cut to 32 bits) and rare (how many of its words, the first ones, are of classes up to that of ``near``)."""
+    one), last (the key of its last word, cut to 32 bits), rare (how many of its words, the first ones, are of classes up to that of
+    ``near``), low and high (a signature of the prefix)."""
     keyed = lines.select("*", grades.scalar().alias("grades")).select("order", word_keys(F.col("line"), F.col("grades"), bits).alias("keys"))
     kept = F.least(F.size("keys"), _prefix_size(F.size("keys"), num, den).cast("int") + 1)
     cut = keyed.select("order", F.size("keys").alias("n"), F.slice("keys", F.lit(1), kept).alias("keys"))
     rare = F.size(F.filter("keys", lambda k: k < F.lit((_grade(near) + 1) << (64 - bits))))
     prefix = F.transform("keys", lambda k: k.bitwiseAND(ones(31)).cast("int"))
-    return cut.select("order", "n", F.shiftright(F.get("keys", F.size("keys") - 1), 64 - bits - 26).alias("last"), rare.alias("rare"), prefix.alias("prefix"))
+    sets = cut.select("order", "n", F.shiftright(F.get("keys", F.size("keys") - 1), 64 - bits - 26).alias("last"), rare.alias("rare"), prefix.alias("prefix"))
+    return sets.select("*", _signature(0).alias("low"), _signature(1).alias("high"))
 
 
 def _grade(n: int) -> int:
@@ -131,25 +137,35 @@ def _signature(half: int) -> Column:
     return F.aggregate("prefix", F.lit(0).cast("long"), put)
 
 
-def postings_of(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(word, s, size, low, high): s is the set's order. word has ``last`` in its lower half; size has n above the number of words
-    from this one on; low and high are a signature of the prefix.
+def rounds_of(sets: DataFrame, num: int, den: int, each: int = 4, least: int = 4_000_000, most: int = 16) -> int:
+    """How many rounds, ``most`` at most, hold the postings of ``sets`` to ``each`` a set (or ``least`` in all) at a time; every round makes all and keeps its own."""
+    must = _prefix_size(F.col("n"), num, den)
+    often = F.greatest(F.lit(0), F.least(must + 1, F.size("prefix")) - F.col("rare"))
+    posted = F.when(F.col("n") * num <= den, must).otherwise(F.least(must, F.col("rare"))) + F.call_function("div", often * (often - 1), F.lit(2))
+    told = sets.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum(posted), F.lit(0)).alias("postings")).first()
+    return min(most, max(1, ceil(told["postings"] / max(least, each * told["sets"]))))
+
+
+def postings_of(sets: DataFrame, num: int, den: int, share: int = 0, rounds: int = 1) -> DataFrame:
+    """(word, s, size, low, high) of the words of one ``share`` of ``rounds``: s is the set's order. word has ``last`` in its lower
+    half; size has n above the number of words from this one on; low and high are a signature of the prefix.
 
     Sets meet by rare words one by one, by frequent ones two by two: if the first word that two similar sets share is frequent,
     so is the second, and size is then as if the second were the first. Sets so small that one common word may do meet by all words alone too.
     """
-    signed = sets.select("order", "n", "last", "rare", "prefix", _signature(0).alias("low"), _signature(1).alias("high"))
     must = _prefix_size(F.col("n"), num, den).cast("int")
     alone = F.when(F.col("n") * num <= den, must).otherwise(F.least(must, "rare"))
-    one = signed.select("order", "n", "last", "low", "high", F.posexplode(F.slice("prefix", F.lit(1), alone)).alias("at", "word"))
-    often = F.slice("prefix", F.col("rare") + 1, F.size("prefix") - F.col("rare"))
-    first = signed.filter(F.size("prefix") >= F.col("rare") + 2).select("order", "n", "last", "rare", "low", "high", often.alias("often"))
-    first = first.select("*", F.posexplode("often").alias("i", "x")).filter(F.col("rare") + F.col("i") < must)
-    after = F.slice("often", F.col("i") + 2, F.size("often"))
-    two = first.select("order", "n", "last", "low", "high", (F.col("rare") + F.col("i")).alias("i"), "x", F.posexplode(after).alias("j", "y"))
-    two = two.select("order", "n", "last", "low", "high", (F.col("i") + F.col("j")).alias("at"), F.xxhash64("x", "y").bitwiseAND(ones(31)).alias("word"))
+    each = sets.select("*", alone.alias("alone"), F.posexplode(F.slice("prefix", F.lit(1), must)).alias("i", "x"))
+    # null stands for no second word
+    itself, after = F.array(F.lit(None).cast("int")), F.slice("prefix", F.col("i") + 2, F.size("prefix"))
+    seconds = F.when(F.col("i") < F.least("alone", "rare"), itself).when(F.col("i") >= F.col("alone"), after).otherwise(F.concat(itself, after))
+    both = each.select("order", "n", "last", "low", "high", "alone", "i", "x", F.posexplode(seconds).alias("j", "y"))
+    at = F.col("i") + F.col("j") - F.when(F.col("y").isNotNull() & (F.col("i") < F.col("alone")), 1).otherwise(0)
+    word = F.when(F.col("y").isNull(), F.col("x").cast("long")).otherwise(F.xxhash64("x", "y").bitwiseAND(ones(31)))
+    both = both.select("order", "n", "last", "low", "high", at.alias("at"), word.alias("word"))
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("long"))
-    both = one.withColumn("word", F.col("word").cast("long")).unionByName(two)
+    if rounds > 1:
+        both = both.filter(F.pmod(F.xxhash64("word"), F.lit(rounds)) == share)
     return both.select(F.shiftleft("word", 32).bitwiseOR(F.col("last")).alias("word"), F.col("order").alias("s"), size.alias("size"), "low", "high")
 
 
@@ -175,14 +191,14 @@ def may_match(a: str, b: str, num: int, den: int) -> Column:
     return (F.least(n[a], n[b]) * den >= F.greatest(n[a], n[b]) * num) & (F.least(left[a], left[b]) * (num + den) >= both) & fits(a, b) & fits(b, a)
 
 
-def met_pairs(sets: DataFrame, near: int, num: int, den: int) -> DataFrame:
-    """Sets that meet by a posting: (a, b) pairs that may match, of words (or pairs of words) that up to ``near`` sets share, and
-    for the others postings with b null. One shuffle of the postings serves all.
+def met_pairs(sets: DataFrame, near: int, num: int, den: int, share: int = 0, rounds: int = 1) -> DataFrame:
+    """Sets that meet by a posting of one ``share`` of ``rounds``: (a, b) pairs that may match, of words (or pairs of words) that
+    up to ``near`` sets share, and for the others postings with b null. One shuffle of the postings serves all.
 
     The larger set has the first common word in its prefix, the smaller among the words from which on
     2 * num / (num + den) of it are left.
     """
-    postings = postings_of(sets, num, den)
+    postings = postings_of(sets, num, den, share, rounds)
     # the join would ask this of its right side alone, and the sides would then have a shuffle each
     postings = postings.filter("word IS NOT NULL AND shiftright(word, 32) IS NOT NULL AND s IS NOT NULL AND size IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL").repartition(F.shiftright("word", 32))
     a = _unpacked(postings).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter("shared > 1").alias("a")
@@ -198,6 +214,14 @@ def met_pairs(sets: DataFrame, near: int, num: int, den: int) -> DataFrame:
     return met.select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), *crowded).distinct()
 
 
+def met_in_rounds(sets: DataFrame, near: int, num: int, den: int) -> list[DataFrame]:
+    """``met_pairs`` of all words, a stored table a round; the shuffle files of a round go before the next."""
+    rounds = rounds_of(sets, num, den)
+    if rounds == 1:
+        return [materialise(met_pairs(sets, near, num, den), "met")]
+    return [materialise(met_pairs(sets, near, num, den, share, rounds), "met") for share in range(rounds)]
+
+
 def sharing(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The ``pairs`` (a, b) whose prefixes share enough words: those of the prefix that ends first, less all that its set may have alone; a is before b."""
     known = sets.select("order", F.struct("n", "last", "prefix").alias("x"))
@@ -271,8 +295,11 @@ def removed_lines(documents: DataFrame, num: int = 4, den: int = 5, bits: int |
     discard(lines)
     discard(known)
     sets = materialise(signed_sets(different_lines(documents, again, first), rarity_table(documents, bits), num, den, bits, near), "sets")
-    met = materialise(met_pairs(sets, near, num, den), "met")
-    few, crowd = materialise(sharing(met.filter("b IS NOT NULL").select("a", "b"), sets, num, den), "few"), met.filter("b IS NULL").select("word", F.col("a").alias("s"), *_POSTING[1:])
+    parts = met_in_rounds(sets, near, num, den)
+    met = reduce(DataFrame.unionByName, parts)
+    pairs = met.filter("b IS NOT NULL").select("a", "b")
+    pairs = pairs if len(parts) == 1 else pairs.distinct()  # a pair may meet in several rounds
+    few, crowd = materialise(sharing(pairs, sets, num, den), "few"), met.filter("b IS NULL").select("word", F.col("a").alias("s"), *_POSTING[1:])
     wanted = materialise(few.select(F.col("a").alias("order")).union(few.select("b")).union(crowd.select("s")).distinct(), "wanted")
     texts = wanted_lines(documents, wanted)
     dropped = verify(texts, few, num, den)
@@ -283,7 +310,7 @@ def removed_lines(documents: DataFrame, num: int = 4, den: int = 5, bits: int |
         later = materialise(later.join(gone.withColumnRenamed("order", "s"), "s", "left_anti"), "later")
         dropped = dropped.unionByName(gone).unionByName(_meet(texts, later, crowd, num, den)).distinct()
     found = materialise(copies.unionByName(dropped), "removed")
-    for done in (copies, several, first, sets, met, few, wanted, texts):
+    for done in (copies, several, first, sets, *parts, few, wanted, texts):
         discard(done)
     return found
 
