@@ -80,6 +80,13 @@ def test_rare_languages_are_taught(spark):
     assert sample.columns == df.columns and sample.select("lang").distinct().count() == 210 and sample.count() < df.count()
 
 
+def test_training_leaves_little_memory_on_the_driver(spark, monkeypatch):
+    freed = []
+    monkeypatch.setattr(langid, "give_back", lambda: freed.append(True))
+    langid.train_on(spark.createDataFrame([(k, f"some words {k}", "en") for k in range(9)], "doc_id long, text string, lang string"))
+    assert freed
+
+
 def test_folding():
     assert toxicity.fold("You 1D10T!") == " you idiot " and toxicity.fold("ѕtυpіd") == " stupid " and toxicity.fold("stúp​id") == " stupid "
     assert toxicity.fold("$tupid m@ggot") == " tupid maggot " and toxicity.fold(None) == " " and toxicity.fold("!!") == " "

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import give_back
 from .labelled import bounded_sample, held_out
 
 UNKNOWN = "und"
@@ -209,7 +210,9 @@ def identify(texts: DataFrame, model: LanguageModel, id_col: str, text_col: str,
 def train_on(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 1000) -> LanguageModel:
     """A model of the rows of ``df`` that have a language and aren't held out. No such row: a model that knows none."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    return train(rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("id"))), per_class)
+    model = train(rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("id"))), per_class)
+    give_back()  # the sample's vectors, of all steps that follow on the driver
+    return model
 
 
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 1000) -> DataFrame:
@@ -231,5 +234,6 @@ def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text",
         for batch in batches:
             found = [held.value.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+        give_back()  # this worker stays, idle, beside the executor's next stages
 
     return df.mapInArrow(run, df.schema)
