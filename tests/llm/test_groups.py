@@ -318,6 +318,25 @@ def test_rounds_follow_the_postings(spark):
     assert linededup.rounds_of(df, 4, 5) == linededup.rounds_of(df.limit(0), 4, 5) == 1
 
 
+@pytest.mark.parametrize("told", [0, 1 << 22])
+def test_bit_tables_that_let_copies_through_change_no_line(spark, monkeypatch, told):
+    rows, plain = [r for r in line_rows() if len(r[1] or "") < 1000], linededup.bit_table
+    rows += [(100 + d, "\n".join(r[1] or "" for r in rows[d : d + 2])) for d in range(8)]
+    monkeypatch.setattr(linededup, "TOLD", told)
+    monkeypatch.setattr(linededup, "bit_table", lambda hashes, count: plain(hashes.sparkSession.range(1 << 15), 1))  # all bits set
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), near=4, bits=10)
+    assert {r.doc_id: list(r.removed_lines) for r in got.collect()} == brute_lines(rows)
+
+
+def test_a_word_is_met_by_the_early_words_of_smaller_sets_alone(spark):
+    sets = linededup.signed_sets(spark.createDataFrame([(k, " ".join(f"{'w' if i else 'x'}{i}y{k % 5 if i else 0}" for i in range(20))) for k in range(40)], "order long, line string"), spark.range(1).select(F.array_repeat(F.lit(0).cast("long"), 1 << 10).alias("grades")), 4, 5, 10, 256)
+    met = linededup.met_pairs(sets, 256, 4, 5)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter") :]
+    assert join.index("SPARK_PARTITION_ID") < join.rindex("RepartitionByExpression") and plan.count("SPARK_PARTITION_ID") == 1
+    assert met.filter("b IS NOT NULL").count() == 5 * 28  # the pairs of each eight equal sets
+
+
 def test_line_query_equals_sql(spark, sf_dir):
     name = "op10_set_similarity_line_dedup"
     same(queries.queries()[name](spark, sf_dir), connection(sf_dir), queries.oracle_sql()[name])

@@ -33,6 +33,8 @@ from .bits import bit_table, dense, marked, ones
 
 _OTHER = ("\t", "\x0b", "\f", "\r")
 _POSTING = ("s", "size", "low", "high", "last")
+#: Of so many lines a bit table of 2**26 bits knows one in 16 of all others at most.
+TOLD = 1 << 22
 
 
 def words(line: Column) -> Column:
@@ -202,10 +204,10 @@ def met_pairs(sets: DataFrame, near: int, num: int, den: int, share: int = 0, ro
     # the join would ask this of its right side alone, and the sides would then have a shuffle each
     postings = postings.filter("word IS NOT NULL AND shiftright(word, 32) IS NOT NULL AND s IS NOT NULL AND size IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL").repartition(F.shiftright("word", 32))
     a = _unpacked(postings).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter("shared > 1").alias("a")
-    b = _unpacked(postings).alias("b")
+    early = F.col("size").bitwiseAND(ones(32)) * (num + den) >= F.shiftright("size", 32) * (2 * num)
+    b = _unpacked(postings).filter(early | (F.spark_partition_id() < 0)).alias("b")  # the same, and it stays above the shuffle
     larger, smaller = F.shiftright("a.size", 32), F.shiftright("b.size", 32)
-    early = F.col("b.size").bitwiseAND(ones(32)) * (num + den) >= smaller * (2 * num)
-    roles = ((smaller < larger) | ((smaller == larger) & (F.col("a.s") < F.col("b.s")))) & (early | (F.col("a.shared") < 1))  # the same, and no filter of one side
+    roles = (smaller < larger) | ((smaller == larger) & (F.col("a.s") < F.col("b.s")))
     on = (F.col("a.word") == F.col("b.word")) & (F.col("a.shared") <= near) & roles & may_match("a", "b", num, den)
     few = F.col("b.s").isNotNull()
     crowded = [F.when(~few, F.col(f"a.{c}")).alias(c) for c in ("word", *_POSTING[1:])]
@@ -238,13 +240,13 @@ def sharing(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def wanted_lines(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(order, line) of the ``wanted`` (order), read again from the documents and stored.
+    """(order, line) of the ``wanted`` (order), read again from the documents and stored; some others too, which no pair names.
 
-    A bit table of the wanted lines keeps most others out of the shuffle.
+    A bit table of the wanted lines keeps most others out; where they are too many for it, a join does.
     """
-    table = bit_table(wanted.select(F.xxhash64("order").alias("spot")), wanted.count())
-    found = lines_of(documents).filter(marked(F.xxhash64("order"), table)).join(wanted, "order", "left_semi")
-    return materialise(found, "texts")
+    n = wanted.count()
+    found = lines_of(documents).filter(marked(F.xxhash64("order"), bit_table(wanted.select(F.xxhash64("order").alias("spot")), n)))
+    return materialise(found if n <= TOLD else found.join(wanted, "order", "left_semi"), "texts")
 
 
 def verify(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -271,12 +273,14 @@ def _alike(texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 def different_lines(documents: DataFrame, again: tuple[DataFrame, int], first: DataFrame) -> DataFrame:
     """(order, line) of the first line of each set; ``again`` is a bit table of s of sets of more lines, ``first`` (order) are the
-    first lines of the sets that it knows. A bit table tells most other lines that it knows, and only what is left is shuffled."""
-    lines = lines_of(documents)
-    known = marked(F.xxhash64("line"), again)
-    spot = F.xxhash64("order")
-    doubtful = lines.filter(known & marked(spot, bit_table(first.select(spot.alias("spot")), first.count())))
-    return lines.filter(~known).unionByName(doubtful.join(first, "order", "left_semi"))
+    first lines of the sets that it knows. A bit table tells most other lines that it knows; a copy that it takes for a first
+    line is one more set, equal to an earlier one, and changes no result. Where first lines are too many for the table, the lines
+    that it leaves are shuffled."""
+    lines, n, spot = lines_of(documents), first.count(), F.xxhash64("order")
+    known, led = marked(F.xxhash64("line"), again), marked(spot, bit_table(first.select(spot.alias("spot")), n))
+    if n <= TOLD:
+        return lines.filter(~known | led)
+    return lines.filter(~known).unionByName(lines.filter(known & led).join(first, "order", "left_semi"))
 
 
 def removed_lines(documents: DataFrame, num: int = 4, den: int = 5, bits: int | None = None, near: int = 256) -> DataFrame:
