@@ -319,7 +319,7 @@ def test_rounds_follow_the_postings(spark):
 
 
 @pytest.mark.parametrize("told", [0, 1 << 22])
-def test_bit_tables_that_let_copies_through_change_no_line(spark, monkeypatch, told):
+def test_texts_that_no_pair_names_change_no_line(spark, monkeypatch, told):
     rows, plain = [r for r in line_rows() if len(r[1] or "") < 1000], linededup.bit_table
     rows += [(100 + d, "\n".join(r[1] or "" for r in rows[d : d + 2])) for d in range(8)]
     monkeypatch.setattr(linededup, "TOLD", told)
