@@ -204,6 +204,42 @@ def test_bands_lose_no_links(spark):
     assert set(got) <= set(want) and sum(got.get(i) == want[i] for i in want) >= 0.98 * len(want)
 
 
+def test_texts_travel_only_for_pairs_whose_prefixes_share_enough(spark, monkeypatch):
+    """Texts with a passage in common meet by its shingles if those aren't known as common; they are told apart without their texts."""
+    rng, words, told, similar = random.Random(17), [f"w{k}" for k in range(4000)], [], simhash.similar
+    passage = [rng.choice(words) for _ in range(16)]
+    rows = [(k, " ".join([*(rng.choice(words) for _ in range(150)), *passage, *(rng.choice(words) for _ in range(rng.randint(0, 30)))])) for k in range(60)]
+    rows.append((60, " ".join([*rows[0][1].split()[:-2], "other", "end"])))
+
+    def counted(texts, nodes, pairs, *more):
+        told.append({(r.a, r.b) for r in pairs.collect()})
+        return similar(texts, nodes, pairs, *more)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    monkeypatch.setattr(simhash, "common_shingles", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 60 for k in range(61)} and sum(map(len, told)) <= 3
+
+
+def test_near_components_in_rounds(spark, monkeypatch):
+    """Rounds of bands, prefixes and pairs find what one round finds, and their tables are as many."""
+    rng, words, rows, made, materialise = random.Random(19), [f"w{k}" for k in range(900)], [], [], simhash.materialise
+    for base in range(0, 300, 3):
+        text = [rng.choice(words) for _ in range(rng.randint(5, 90))]
+        for k in range(3):
+            rows.append((base + k, " ".join(text)))
+            text[rng.randrange(len(text))] = f"x{base}y{k}"
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r.component_id for r in simhash.near_components(df).collect()}
+    for name, value in (("ROUND", 500), ("PAIRS", 9)):
+        monkeypatch.setattr(simhash, name, value)
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: made.append(label) or materialise(df, label))
+    got = {r.doc_id: r.component_id for r in simhash.near_components(df).collect()}
+    assert got == whole and len(set(whole.values())) < 290
+    many = Counter(made)
+    assert many["simhash-met"] > 1 and many["simhash-rest"] > 2 and many["simhash-similar"] > 2
+
+
 def test_near_components_of_odd_rows(spark):
     rows = [(3, None), (2, ""), (5, "a b"), (5, "a b"), (None, "a b"), (None, "alone"), (9, "a b c d e f g")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, row string")

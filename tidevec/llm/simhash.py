@@ -11,10 +11,10 @@ with the fingerprints that share parts instead of with all pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,13 +23,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialise
+from ..scratch import discard, give_back, materialise
 from .bits import bit_table, marked
 from .components import components
 from .skew import salted_join
 
 TILE = 256
 _CHUNK = 1 << 15
+#: Rows of bands and of prefixes that a round has at least, and the most rounds of prefixes.
+ROUND, ROUNDS = 4_000_000, 8
+#: Pairs that a round compares at least.
+PAIRS = 100_000
 
 
 def _ones(joined: bytes) -> np.ndarray:
@@ -225,14 +229,15 @@ class Bands:
     def number(self) -> int:
         return math.ceil(math.log(self.miss) / math.log(1 - (1 - self.share) ** self.width))
 
-    def keys(self, prints: np.ndarray) -> Iterator[np.ndarray]:
-        """For each band, the bands' bits of fingerprints (rows of uint64)."""
+    def keys(self, prints: np.ndarray, some: range | None = None) -> Iterator[np.ndarray]:
+        """For each band, or ``some`` by their numbers, the bands' bits of fingerprints (rows of uint64)."""
         rng = np.random.default_rng(64 * self.lanes)
         bits = np.unpackbits(np.ascontiguousarray(prints.astype(">u8")).view(np.uint8), axis=1)
         power = np.int64(1) << np.arange(self.width, dtype=np.int64)
-        for _ in range(self.number):
+        for band in range(self.number):
             at = np.sort(rng.choice(64 * self.lanes, self.width, replace=False))
-            yield bits[:, at].astype(np.int64) @ power
+            if some is None or band in some:
+                yield bits[:, at].astype(np.int64) @ power
 
 
 def wide_links(group: np.ndarray, prints: np.ndarray, radius: int, first_new: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -259,15 +264,16 @@ def wide_links(group: np.ndarray, prints: np.ndarray, radius: int, first_new: in
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def banded_links(nodes: DataFrame, bands: Bands) -> DataFrame:
-    """(a, b): links between ``nodes`` (node, and a fingerprint in ``lanes`` longs), as a spanning forest of each task's finds."""
+def banded_links(nodes: DataFrame, bands: Bands, some: range | None = None) -> DataFrame:
+    """(a, b): links between ``nodes`` (node, and a fingerprint in ``lanes`` longs), by all bands or ``some``, as a spanning forest of each task's finds."""
     lanes = [f"f{k}" for k in range(bands.lanes)]
+    some = range(bands.number) if some is None else some
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(bands.lanes)], axis=1) if batch.num_rows else np.zeros((0, bands.lanes), np.uint64)
             ones = pa.array(np.bitwise_count(prints).sum(axis=1, dtype=np.int32))
-            for band, key in enumerate(bands.keys(prints)):
+            for band, key in zip(some, bands.keys(prints, some), strict=True):
                 yield pa.record_batch([pa.array(np.full(len(key), band, np.int32)), pa.array(key), ones, *batch.columns], names=["band", "key", "ones", "node", *lanes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,41 +300,61 @@ def banded_links(nodes: DataFrame, bands: Bands) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def links_in_rounds(nodes: DataFrame, count: int, bands: Bands, least: int = 0) -> DataFrame:
+    """``banded_links`` of ``count`` stored nodes, a stored table a round of bands: rows of ``least`` (ROUND), or of eight bands, are on disk at a time."""
+    each = max(8, (least or ROUND) // max(1, count))
+    return reduce(DataFrame.unionByName, [materialise(banded_links(nodes, bands, range(k, min(k + each, bands.number))), "simhash-met") for k in range(0, bands.number, each)])
+
+
 def shingle_set(text: str | None, words_per_shingle: int, seed: int) -> np.ndarray:
     """The different shingles' hashes, in order."""
     return np.unique(np.frombuffer(shingle_hashes(text, words_per_shingle, seed), ">u8").astype(np.uint64))
 
 
-def common_shingles(texts: DataFrame, words_per_shingle: int, seed: int, sample: int = 10_000, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and counts of shingles that three or more of about ``sample`` texts (text, text_hash) hold; the ``most`` frequent.
+def common_shingles(texts: DataFrame, words_per_shingle: int, seed: int, sample: int = 10_000, share: int = 10, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of shingles that three or more of the sampled texts (text, text_hash) hold; the frequent ones, ``most`` at most.
 
-    They only order shingles: any others give the same links.
+    The sample is about ``sample`` texts, or one in ``share`` of more, so that the texts that share a shingle it doesn't
+    find stay few as the table grows. It only orders shingles: any others give the same links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), words_per_shingle, seed) for t in batch.column(0)]
             yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], names=["key"])
+        give_back()
 
-    every = max(1, texts.count() // sample)
+    n = texts.count()
+    every = max(1, n // max(sample, n // share))
     some = texts.filter(F.pmod("text_hash", F.lit(every)) == 0).select("text")
-    counts = some.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    rows = counts.orderBy(F.desc("n"), "key").limit(most).toArrow()
+    counts = materialise(some.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2"), "simhash-common")
+    least = held = 0
+    for row in sorted(counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count(F.lit(1)).alias("keys")).collect(), key=lambda r: -r["n"]):
+        held += row["keys"]
+        if held > most:
+            break
+        least = row["n"]
+    rows = counts.filter(F.col("n") >= (least or 1 << 62)).toArrow()
+    discard(counts)
     keys = rows["key"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], rows["n"].to_numpy()[order]
 
 
+def ranks(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How common shingles are: 0 for those that ``common`` doesn't hold."""
+    keys, counts = common
+    if not len(keys):
+        return np.zeros(len(shingles), np.int64)
+    at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+    return np.where(keys[at] == shingles, counts[at], 0)
+
+
 def prefix_of(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
     """The first n * (den - num) // den + 1 of n shingles, common ones last: sets of Jaccard similarity num / den or more share one of them."""
     if not len(shingles):
         return shingles
-    keys, counts = common
-    rank = np.zeros(len(shingles), np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-        rank = np.where(keys[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, rank))[: len(shingles) * (den - num) // den + 1]]
+    return shingles[np.lexsort((shingles, ranks(shingles, common)))[: len(shingles) * (den - num) // den + 1]]
 
 
 def _crossing(key: np.ndarray, root: np.ndarray, first_new: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -356,8 +382,8 @@ def _crossing(key: np.ndarray, root: np.ndarray, first_new: int) -> Iterator[tup
                     yield np.minimum(later[kept], k), np.maximum(later[kept], k)
 
 
-def prefix_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): nodes (node, root, size, prefix) of different roots that share a prefix shingle and whose sizes and places allow the similarity."""
+def prefix_pairs(nodes: DataFrame, num: int, den: int, share: int = 0, rounds: int = 1) -> DataFrame:
+    """(a, b): nodes (node, root, size, prefix) of different roots that share a prefix shingle of one ``share`` of ``rounds`` and whose sizes and places allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 5
@@ -376,11 +402,53 @@ def prefix_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
             held = [h[np.searchsorted(key, key[-1]) :] for h in held]
 
     postings = nodes.select("node", "root", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", "root", "size", (F.col("size") - F.col("at")).alias("rest"))
+    if rounds > 1:
+        postings = postings.filter(F.pmod(F.xxhash64("key"), F.lit(rounds)) == share)
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words_per_shingle: int, seed: int, num: int, den: int) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes (node, text_hash) whose texts' shingle sets have Jaccard similarity num / den or more."""
+def pairs_in_rounds(nodes: DataFrame, num: int, den: int, least: int = 0) -> DataFrame:
+    """``prefix_pairs`` of all shingles, stored, each pair once; postings of one share of the shingles, ``least`` (ROUND) of them or more, are on disk at a time."""
+    postings = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    rounds = min(ROUNDS, max(1, math.ceil(postings / (least or ROUND))))
+    parts = [materialise(prefix_pairs(nodes, num, den, share, rounds), "simhash-rest") for share in range(rounds)]
+    if rounds == 1:
+        return parts[0]
+    every = materialise(reduce(DataFrame.unionByName, parts).distinct(), "simhash-rest")
+    for part in parts:
+        discard(part)
+    return every
+
+
+def in_rounds(pairs: DataFrame, work: Callable[[DataFrame], DataFrame], each: int, label: str) -> DataFrame:
+    """``work`` on shares of about ``each`` of the stored ``pairs`` (a, b) one after the other, each stored."""
+    rounds = max(1, math.ceil(pairs.count() / each))
+    shares = [pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k) for k in range(rounds)] if rounds > 1 else [pairs]
+    return reduce(DataFrame.unionByName, [materialise(work(share), label) for share in shares])
+
+
+def sharing(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes (node, size, edge, prefix) whose prefixes share as many shingles as the similarity takes.
+
+    What the prefix that ends first shares with the other set is in the other prefix; the rest of its set, and no more, may be
+    common besides. ``edge`` is the rank of a prefix's last shingle; equal ranks go by the hash, unsigned.
+    """
+    known = nodes.select("node", F.struct("size", "edge", "prefix").alias("x"))
+    both = pairs.join(known.select(F.col("node").alias("a"), "x"), "a").join(known.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+    x, y = F.col("x"), F.col("y")
+    common = F.call_function("div", (x["size"] + y["size"]) * num + (num + den - 1), F.lit(num + den))
+
+    def end(z: Column) -> Column:
+        return F.struct(z["edge"], F.get(z["prefix"], F.size(z["prefix"]) - 1).bitwiseXOR(F.lit(-(1 << 63))))
+
+    def of(z: Column) -> Column:
+        return F.size(z["prefix"]) - z["size"] + common
+
+    return both.filter(F.size(F.array_intersect(x["prefix"], y["prefix"])) >= F.when(end(x) <= end(y), of(x)).otherwise(of(y))).select("a", "b")
+
+
+def similar(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words_per_shingle: int, seed: int, num: int, den: int, each: int = 0) -> DataFrame:
+    """The stored ``pairs`` (a, b) of nodes (node, text_hash) whose texts' shingle sets have Jaccard similarity num / den or more; texts of about ``each`` pairs (PAIRS) travel at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(4096)(lambda text: shingle_set(text, words_per_shingle, seed))
@@ -391,13 +459,19 @@ def similar(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words_per_shin
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep[k] = common * den >= (len(x) + len(y) - common) * num
             yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+        known.cache_clear()
+        give_back()
 
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(nodes.select("node", "text_hash").join(named, "node", "left_semi"), "simhash-wanted")
     read = texts.filter(marked(F.col("text_hash"), bit_table(wanted.select("text_hash"), wanted.count()))).join(wanted, "text_hash")
     held = materialise(read.dropDuplicates(["text_hash"]).select("node", "text"), "simhash-texts")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    found = materialise(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "simhash-similar")
+
+    def told(some: DataFrame) -> DataFrame:
+        both = some.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+    found = in_rounds(pairs, told, each or PAIRS, "simhash-similar")
     discard(held)
     discard(wanted)
     return found
@@ -409,6 +483,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts link if their sets of word shingles have that Jaccard similarity, and all that do are linked. Most links come
     from SimHashes of ``lanes`` x 64 bits that meet by bands of bits and are verified; a join of the sets by their
     prefixes finds the others, for which only pairs that verified links leave in different components are looked at.
+    Of those, only pairs whose prefixes share enough have their texts read. Bands, prefixes and pairs go in rounds, so
+    that one round's rows are on disk at a time.
 
     Texts of one shingle set are one node; null and empty texts have the empty set. A null id is never
     a component's id unless all its ids are null; repeated rows come out each; an empty table gives no
@@ -427,20 +503,30 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             sets = [np.unique(np.frombuffer(h, ">u8").astype(np.uint64)) for h in hashes]
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             prefixes = [prefix_of(x, common.value, num, den).view(np.int64) for x in sets]
-            columns = [pa.array(node), *(pa.array(prints[:, k]) for k in range(lanes)), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["id", "text_hash", "node", *names, "size", "prefix"])
-
-    schema = ", ".join(["id long, text_hash long, node long", *(f"{x} long" for x in names), "size int, prefix array<long>"])
-    rows = materialise(picked.mapInArrow(run, schema), "simhash")
-    one = F.min_by(F.struct(*names, "size", "prefix", "text_hash"), "text_hash").alias("one")
-    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), one).select("node", "least", "n", "one.*"), "simhash-nodes")
-    bands = Bands(lanes, differing_share(similarity), max(12, math.ceil(math.log2(nodes.count() + 1)) - 6))
-    met = materialise(banded_links(nodes, bands).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
-    sure = similar(picked, nodes, met, words_per_shingle, seed, num, den)
-    rooted = nodes.select("node", "size", "prefix").join(components(sure), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = materialise(prefix_pairs(rooted, num, den), "simhash-rest")
-    found = materialise(sure.unionByName(similar(picked, nodes, rest, words_per_shingle, seed, num, den)), "simhash-links")
-    for done in (met, rest, sure):
+            edges = [int(ranks(x[-1:].view(np.uint64), common.value)[0]) if len(x) else 0 for x in prefixes]
+            columns = [pa.array(node), *(pa.array(prints[:, k]) for k in range(lanes)), pa.array([len(x) for x in sets], pa.int32()), pa.array(edges, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["id", "text_hash", "node", *names, "size", "edge", "prefix"])
+        give_back()
+
+    schema = ", ".join(["id long, text_hash long, node long", *(f"{x} long" for x in names), "size int, edge long, prefix array<long>"])
+    whole = materialise(picked.mapInArrow(run, schema), "simhash")
+    one = F.min_by(F.struct(*names, "size", "edge", "prefix", "text_hash"), "text_hash").alias("one")
+    nodes = materialise(whole.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), one).select("node", "least", "n", "one.*"), "simhash-nodes")
+    rows = materialise(whole.select("id", "text_hash", "node"), "simhash-rows")
+    discard(whole)
+    count = nodes.count()
+    bands = Bands(lanes, differing_share(similarity), max(12, math.ceil(math.log2(count + 1)) - 6))
+    links_ = links_in_rounds(nodes, count, bands)
+    met = materialise(links_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
+    each = max(PAIRS, count // 4)
+    sure = similar(picked, nodes, met, words_per_shingle, seed, num, den, each)
+    roots = materialise(components(sure), "simhash-roots")
+    rooted = nodes.select("node", "size", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = pairs_in_rounds(rooted, num, den)
+    few = in_rounds(rest, lambda some: sharing(some, nodes, num, den), max(PAIRS, count), "simhash-few")
+    late = similar(picked, nodes, few, words_per_shingle, seed, num, den, each)
+    found = materialise(sure.unionByName(late), "simhash-links")
+    for done in (links_, met, rest, few, roots, late, sure):
         discard(done)
     named = _named(nodes, "node", found)
     return salted_join(rows.select("id", "text_hash", "node"), named, "node", "n").select(F.col("id").alias(id_col), "text_hash", "component_id")
