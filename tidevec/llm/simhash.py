@@ -408,7 +408,7 @@ def prefix_pairs(nodes: DataFrame, num: int, den: int, share: int = 0, rounds: i
 
 
 def pairs_in_rounds(nodes: DataFrame, num: int, den: int, least: int = 0) -> DataFrame:
-    """``prefix_pairs`` of all shingles, stored, each pair once; postings of one share of the shingles, ``least`` (ROUND) of them or more, are on disk at a time."""
+    """``prefix_pairs`` of stored nodes by all shingles, stored, each pair once; postings of one share of the shingles, ``least`` (ROUND) of them or more, are on disk at a time."""
     postings = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     rounds = min(ROUNDS, max(1, math.ceil(postings / (least or ROUND))))
     parts = [materialise(prefix_pairs(nodes, num, den, share, rounds), "simhash-rest") for share in range(rounds)]
@@ -521,14 +521,17 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each = max(PAIRS, count // 4)
     sure = similar(picked, nodes, met, words_per_shingle, seed, num, den, each)
     roots = materialise(components(sure), "simhash-roots")
-    rooted = nodes.select("node", "size", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(nodes.select("node", "size", "edge", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-rooted")
+    told = materialise(nodes.select("node", "least", "n", "text_hash"), "simhash-told")
+    discard(nodes)
     rest = pairs_in_rounds(rooted, num, den)
-    few = in_rounds(rest, lambda some: sharing(some, nodes, num, den), max(PAIRS, count), "simhash-few")
-    late = similar(picked, nodes, few, words_per_shingle, seed, num, den, each)
+    few = in_rounds(rest, lambda some: sharing(some, rooted, num, den), max(PAIRS, count), "simhash-few")
+    discard(rooted)
+    late = similar(picked, told, few, words_per_shingle, seed, num, den, each)
     found = materialise(sure.unionByName(late), "simhash-links")
     for done in (links_, met, rest, few, roots, late, sure):
         discard(done)
-    named = _named(nodes, "node", found)
+    named = _named(told, "node", found)
     return salted_join(rows.select("id", "text_hash", "node"), named, "node", "n").select(F.col("id").alias(id_col), "text_hash", "component_id")
 
 
